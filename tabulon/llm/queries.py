@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import new_folder, table
 from .decontam import find_benchmark
 from .line_dedup import drop_shared_lines
 from .packing import pack_texts
+from .quality import BOILERPLATE, ENDINGS, NAVIGATION, clean_lines
+from .simhash import near_duplicates
 from .tokens import vocabulary_path
+from .warc import read_archives, write_archives
+from .wrapper import extract_main_text
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,11 +27,27 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_texts(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_decontaminate, op4_packing)}
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "warc")
+    write_archives(table(spark, sf_dir, "pages"), folder)
+    r = read_archives(spark, folder, with_payload=False)
+    return r.select(F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), F.col("refers_to").cast("long").alias("refers_to"))
+
+
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract_main_text(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_decontaminate, op3_simhash, op4_packing, op9_warc, op10_main_text)}
 
 LINES = """
   SELECT doc_id, k, line, lower_az AS key, length(lower_az) AS chars FROM (
@@ -59,4 +79,42 @@ found AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' O
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs d LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)""",
+    "op9_warc": """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+firsts AS (SELECT hex, min(page_id) AS keep FROM p GROUP BY hex),
+bits AS (SELECT DISTINCT hex, array_to_string(list_transform(string_split_regex(hex, ''), lambda c: lpad(bin(strpos('0123456789abcdef', c) - 1), 4, '0')), '') AS b FROM firsts),
+codes AS (SELECT hex, array_to_string(list_transform(range(32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[(list_sum(list_transform(range(5), lambda j: CASE WHEN b[i * 5 + j + 1] = '1' THEN 1 << (4 - j) ELSE 0 END)) + 1)::BIGINT]), '') AS digest FROM bits)
+SELECT page_id, payload_bytes, digest AS payload_digest, CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> keep THEN keep END AS refers_to
+FROM p JOIN firsts USING (hex) JOIN codes USING (hex)""",
 }
+
+
+def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = clean_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+QUERIES["op5_line_quality"] = op5_line_quality
+_FAILS = " OR ".join(
+    [
+        f"NOT regexp_matches(line, '{ENDINGS.replace(chr(39), chr(39) * 2)}')",
+        f"regexp_matches(line, '{NAVIGATION}')",
+        "5 * length(regexp_replace(line, '[^#*$%&|<>]+', '', 'g')) > len(list_filter(string_split_regex(line, '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''))",
+        "2 * length(regexp_replace(line, '[^!]+', '', 'g')) > len(list_filter(string_split_regex(line, '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''))",
+        *(f"contains(lower(line), '{p}')" for p in BOILERPLATE),
+    ]
+)
+ORACLE["op5_line_quality"] = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+lines AS (SELECT doc_id, line FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+per AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines,
+  coalesce(sum(length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g'))) FILTER (WHERE {_FAILS}), 0) AS lost FROM lines GROUP BY doc_id),
+wins AS (SELECT doc_id, pos, array_to_string(list_slice(w, pos, pos + 4), ' ') AS win FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 4)) AS pos FROM d WHERE len(w) >= 5)),
+again AS (SELECT doc_id, pos FROM (SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, win) AS n FROM wins) WHERE n > 1),
+covered AS (SELECT doc_id, count(DISTINCT pos + j) AS n_repeat_words FROM (SELECT doc_id, pos, unnest(range(5)) AS j FROM again) GROUP BY doc_id),
+base AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+  length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
+  coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(lost, 0)::BIGINT AS lost FROM d LEFT JOIN per USING (doc_id) LEFT JOIN covered USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 100 * lost <= 50 * word_chars AS kept FROM base"""
