@@ -11,7 +11,10 @@ from .line_dedup import drop_shared_lines
 from .packing import pack_texts
 from .quality import BOILERPLATE, ENDINGS, NAVIGATION, clean_lines
 from .simhash import near_duplicates
+from .surrogates import replace_personal_data
+from .token_spans import count_line_tokens
 from .tokens import vocabulary_path
+from .toxicity import THRESHOLD, score_toxicity, train
 from .warc import read_archives, write_archives
 from .wrapper import extract_main_text
 
@@ -118,3 +121,31 @@ base AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x
   coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(lost, 0)::BIGINT AS lost FROM d LEFT JOIN per USING (doc_id) LEFT JOIN covered USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
   NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 100 * lost <= 50 * word_chars AS kept FROM base"""
+
+
+def usable_labels():
+    """Rows that may be learned from: crc32 of the id as text, modulo 4, is not 2."""
+    return F.crc32(F.col("id").cast("string").cast("binary")) % 4 != 2
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = train(docs, table(spark, sf_dir, "labels"), usable=usable_labels())
+    out = score_toxicity(docs, net)
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    return out.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
+
+
+def op7_token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = count_line_tokens(table(spark, sf_dir, "documents"), vocabulary_path())
+    return out.select("doc_id", "n_tokens", F.size("section_tokens").cast("long").alias("n_sections"), "n_crossing", "section_tokens")
+
+
+def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = replace_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"), SURROGATE_KEY)
+    return out.select("doc_id", "text", "n_entities", "entity_kinds")
+
+
+#: Of the registered query only; a deployment passes its own secret.
+SURROGATE_KEY = "example key"
+QUERIES |= {f.__name__: f for f in (op6_toxicity, op7_token_spans, op8_surrogates)}
