@@ -29,6 +29,11 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.select(*(F.when(~F.isnan(col(c)), col(c)).alias(c) if c in floats else col(c) for c in df.columns)) if floats else df
 
 
+def drop_missing(df: DataFrame, names: Iterable[str] | None = None) -> DataFrame:
+    """Rows without a null in some columns, or in any."""
+    return df.filter(all_of(col(c).isNotNull() for c in (df.columns if names is None else names)))
+
+
 def all_of(conditions: Iterable[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
 

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import col, nan_to_null, require
+from ..functions.columns import col, drop_missing, nan_to_null, require
 from ..functions.distributions import normal_cdf, normal_pdf, normal_quantile, normal_two_sided
 from ..functions.moments import partial_sums, solve
 from .regressors import linear, summary_frame
@@ -37,7 +37,7 @@ class _Classifier:
     def fit(self, df: DataFrame, features: list[str], target: str, sample_weight: str | None = None):
         require(df, [*features, target])
         self.spark, self.features, self.target = df.sparkSession, list(features), target
-        rows = nan_to_null(df).dropna(subset=[*features, target, *([sample_weight] if sample_weight else [])])
+        rows = drop_missing(nan_to_null(df), [*features, target, *([sample_weight] if sample_weight else [])])
         columns = [*map(col, features), col(target).cast("double"), col(sample_weight) if sample_weight else F.lit(1.0)]
         k = len(features)
         terms = self._terms

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import all_of, any_of, col, nan_to_null, require
+from ..functions.columns import all_of, any_of, col, drop_missing, nan_to_null, require
 
 
 class Excluder(Protocol):
@@ -115,7 +115,7 @@ class ForestOutliersIsolation(_Fitted):
 
     def fit(self, df: DataFrame):
         self.used = self.columns or df.columns
-        rows = nan_to_null(df.select(*map(col, self.used))).dropna()
+        rows = drop_missing(nan_to_null(df.select(*map(col, self.used))))
         want = self.n_estimators * self.max_samples
         n = rows.count()
         key = F.xxhash64(*map(col, self.used), F.lit(self.random_state))

@@ -9,7 +9,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import TOTAL, all_of, col, nan_to_null, require, truthy
+from ..functions.columns import TOTAL, all_of, col, drop_missing, nan_to_null, require, truthy
 from ..functions.weighted import grouped_weighted_quantiles
 
 PLAIN = ("sum", "mean", "median", "nunique", "count", "any", "all", "majority", "count_effectif", "max_sum_effectif")
@@ -64,7 +64,7 @@ class StatDesGroupBy:
         require(data_source, used)
         self.data = nan_to_null(data_source.select(*map(col, used)))
         if dropna:
-            self.data = self.data.dropna("any")
+            self.data = drop_missing(self.data)
 
     # one operation
 

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import col, nan_to_null, require
+from ..functions.columns import col, drop_missing, nan_to_null, require
 from ..functions.distributions import t_quantile, t_two_sided
 from ..functions.lineage import cut
 from ..functions.moments import gram, solve
@@ -41,7 +41,7 @@ class LeastSquaresEstimator:
     def fit(self, df: DataFrame, features: list[str], target: str, sample_weight: str | None = None):
         require(df, [*features, target, *([sample_weight] if sample_weight else [])])
         self.spark, self.features, self.target = df.sparkSession, list(features), target
-        rows = nan_to_null(df).dropna(subset=[*features, target, *([sample_weight] if sample_weight else [])])
+        rows = drop_missing(nan_to_null(df), [*features, target, *([sample_weight] if sample_weight else [])])
         m = gram(rows, [*map(col, features), col(target)], col(sample_weight) if sample_weight else None)
         return self._solve(m)
 
@@ -144,7 +144,7 @@ class PanelLeastSquaresEstimator(LeastSquaresEstimator):
         require(df, [*features, target, entity_col, time_col])
         self.spark, self.entity, self.time = df.sparkSession, "_entity", "_time"
         w = col(sample_weight).cast("double") if sample_weight else F.lit(1.0)
-        rows = nan_to_null(df).dropna(subset=[*features, target, entity_col, time_col])
+        rows = drop_missing(nan_to_null(df), [*features, target, entity_col, time_col])
         rows = rows.select(col(entity_col).alias("_entity"), col(time_col).alias("_time"), w.alias("_w"), *(col(f).cast("double").alias(f"_x{i}") for i, f in enumerate(features)), col(target).cast("double").alias("_y"))
         names = [*(f"_x{i}" for i in range(len(features))), "_y"]
         self.rows, self.names = rows, names
@@ -230,7 +230,7 @@ class OaxacaBlinder:
 
     def fit(self, df: DataFrame, features: list[str], target: str, sample_weight: str | None = None):
         require(df, [*features, target, self.bifurcate])
-        rows = nan_to_null(df).dropna(subset=[*features, target, self.bifurcate])
+        rows = drop_missing(nan_to_null(df), [*features, target, self.bifurcate])
         flag = col(self.bifurcate).cast("int")
         self.features, self.spark = list(features), df.sparkSession
         self.model = LeastSquaresEstimator().fit(rows if self.method == "pooled" else rows.filter(flag == 1), features, target, sample_weight)

@@ -61,7 +61,7 @@ def star_text(coef: str, p: float | None) -> str:
 
 def _text(c: Column, digits: int) -> Column:
     """As Python writes a rounded float: without trailing zeros, but with one decimal at least."""
-    fixed = F.format_string(f"%.{digits}f", F.bround(c, digits) + 0.0)
+    fixed = F.when(c.isNotNull(), F.format_string(f"%.{digits}f", F.bround(c, digits) + 0.0))
     return F.regexp_replace(fixed, r"(\.\d+?)0+$", "$1")
 
 

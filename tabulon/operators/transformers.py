@@ -8,7 +8,7 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import SEPARATOR, col, nan_to_null, require
+from ..functions.columns import SEPARATOR, col, drop_missing, nan_to_null, require
 
 MAX_MODALITIES = 1000
 
@@ -197,14 +197,14 @@ class ClusteringTransformer(_Fitted):
         est.setFeaturesCol("_features")
         if self.sample_weight and est.hasParam("weightCol"):
             est.setWeightCol(self.sample_weight)
-        self.model = est.fit(self._assembled(nan_to_null(df).dropna(subset=self.used)))
+        self.model = est.fit(self._assembled(drop_missing(nan_to_null(df), self.used)))
         centers = [tuple(map(float, c)) for c in self.model.clusterCenters()] if hasattr(self.model, "clusterCenters") else []
         rank = {old: new for new, (_, old) in enumerate(sorted((c, i) for i, c in enumerate(centers)))}
         self.rank = rank
         return self
 
     def _labelled(self, df: DataFrame) -> DataFrame:
-        out = self.model.transform(self._assembled(nan_to_null(df).dropna(subset=self.used)))
+        out = self.model.transform(self._assembled(drop_missing(nan_to_null(df), self.used)))
         label = col(self.model.getPredictionCol())
         if self.rank:
             label = F.get(F.array(*(F.lit(self.rank[i]) for i in range(len(self.rank)))), label.cast("int"))

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import col, nan_to_null, require
+from ..functions.columns import col, drop_missing, nan_to_null, require
 from ..functions.moments import solve
 from ..operators.regressors import LeastSquaresEstimator
 
@@ -56,7 +56,7 @@ def crossval_predict(
     Folds come from a hash of the id, or from fold_col. Least squares takes two aggregations for all folds and refits.
     """
     require(df, [*features, target, id_col])
-    rows = nan_to_null(df).dropna(subset=[*features, target])
+    rows = drop_missing(nan_to_null(df), [*features, target])
     rows = rows.withColumn("_fold", col(fold_col).cast("int") if fold_col else fold_of(id_col, cv, seed))
     if compute_confidence_interval and None in (n_iterations_boostrap, bootstrap_size, alpha):
         raise ValueError("a confidence interval needs n_iterations_boostrap, bootstrap_size and alpha")
