@@ -128,24 +128,23 @@ class _Window:
 
 def _member(w: _Window, at: int) -> tuple[bytes, int] | None:
     """The content and end of the gzip member at this offset, if it is a WARC record."""
-    d, out, pos, checked = zlib.decompressobj(31), [], at - w.base, False
-    size = 0
+    pos = at - w.base
+    while len(w.data) - pos < 512 and w.more():
+        pass
+    d, out = zlib.decompressobj(31), []
     try:
+        # the head alone first: most candidates fail there
+        if not zlib.decompressobj(31).decompress(w.data[pos : pos + 512], 7).startswith(b"WARC/1."):
+            return None
         while not d.eof:
             if pos >= len(w.data) and not w.more():
                 return None
-            piece = d.decompress(w.data[pos : pos + 65536]) if checked else d.decompress(w.data[pos : pos + 512], 4096)
-            pos += (65536 if checked else 512) if pos + (65536 if checked else 512) <= len(w.data) else len(w.data) - pos
-            pos -= len(d.unused_data) + len(d.unconsumed_tail)
-            size += len(piece)
-            out.append(piece)
-            if not checked and size >= 7:
-                if not b"".join(out).startswith(b"WARC/1."):
-                    return None
-                checked = True
+            piece = w.data[pos : pos + 65536]
+            out.append(d.decompress(piece))
+            pos += len(piece) - len(d.unused_data)
     except zlib.error:
         return None
-    return (b"".join(out), w.base + pos) if checked else None
+    return b"".join(out), w.base + pos
 
 
 def _parse(raw: bytes) -> dict | None:
