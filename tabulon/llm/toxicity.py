@@ -23,7 +23,7 @@ WINDOW, STRIDE = 64, 32
 HIDDEN, WIDTH = 8, 16
 BUCKETS = 1 << 14
 GRAMS = (3, 4, 6)
-MAX_TOXIC, MAX_CLEAN = 1500, 3000  # labelled rows that the model is fitted on, at most
+MAX_TOXIC, MAX_CLEAN = 1000, 2000  # labelled rows that the model is fitted on, at most
 EPOCHS, BATCH = 6, 256
 THRESHOLD = 0.3
 
@@ -53,6 +53,22 @@ def grams_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(buckets)[order], np.bincount(owners, minlength=len(words))
 
 
+def all_grams(words: list[bytes], step: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """grams_of in parts, in half the room."""
+    parts = [grams_of(words[at : at + step]) for at in range(0, len(words), step)]
+    return np.concatenate([p[0].astype(np.int32) for p in parts]), np.concatenate([p[1].astype(np.int32) for p in parts])
+
+
+def mean_rows(table: np.ndarray, buckets: np.ndarray, counts: np.ndarray, step: int = 20_000) -> np.ndarray:
+    """The mean of each word's rows of the table."""
+    starts = np.r_[0, np.cumsum(counts, dtype=np.int64)]
+    out = np.empty((len(counts), table.shape[1]), np.float32)
+    for at in range(0, len(counts), step):
+        upto = min(at + step, len(counts))
+        out[at:upto] = np.add.reduceat(table[buckets[starts[at] : starts[upto]]], starts[at:upto] - starts[at], axis=0) / counts[at:upto, None]
+    return out
+
+
 def window_starts(n: int) -> np.ndarray:
     """Of windows that cover n words, each overlapping the one before; the last ends at the last word."""
     if n <= WINDOW:
@@ -62,18 +78,19 @@ def window_starts(n: int) -> np.ndarray:
 
 def windows_of(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(windows of ids from 1, with 0 after the end; the row of each)."""
-    firsts, rows, ends, at = [], [], [], 0
-    for k, x in enumerate(ids):
-        s = window_starts(len(x)) + at
-        firsts.append(s)
-        rows.append(np.full(len(s), k))
-        at += len(x)
-        ends.append(np.full(len(s), at))
     if not ids:
-        return np.zeros((0, WINDOW), np.int64), np.zeros(0, np.int64)
-    place = np.concatenate(firsts)[:, None] + np.arange(WINDOW)
-    flat = np.r_[np.concatenate(ids) + 1, 0]
-    return np.where(place < np.concatenate(ends)[:, None], flat[np.minimum(place, len(flat) - 1)], 0), np.concatenate(rows)
+        return np.zeros((0, WINDOW), np.int32), np.zeros(0, np.int32)
+    parts, rows = [], []
+    for k, x in enumerate(ids):
+        starts = window_starts(len(x))
+        own = np.zeros((len(starts), WINDOW), np.int32)
+        if len(x) < WINDOW:
+            own[0, : len(x)] = x + 1
+        else:
+            own[:] = x[starts[:, None] + np.arange(WINDOW)] + 1
+        parts.append(own)
+        rows.append(np.full(len(starts), k, np.int32))
+    return np.concatenate(parts), np.concatenate(rows)
 
 
 def _sigmoid(x):
@@ -97,8 +114,7 @@ class Network:
         """For each word: word and character input, and what they came from."""
         own = np.fromiter((self.vocabulary.get(w, 0) for w in words), np.int64, len(words))
         buckets, counts = grams_of(words)
-        starts = np.r_[0, np.cumsum(counts)[:-1]]
-        mean = np.add.reduceat(self.chars[buckets], starts, axis=0) / counts[:, None].astype(np.float32)
+        mean = mean_rows(self.chars, buckets, counts)
         return np.concatenate([self.words[own], mean], axis=1).astype(np.float32), own, buckets, counts
 
     def gates(self, inputs: np.ndarray) -> np.ndarray:
@@ -196,11 +212,11 @@ class Scorer:
                 bigger = np.zeros((max(need, 2 * len(self.table)), 6 * HIDDEN), np.float32)
                 bigger[: len(self.table)] = self.table
                 self.table = bigger
-            for at in range(0, len(words), 50_000):
-                part = words[at : at + 50_000]
+            for at in range(0, len(words), 20_000):
+                part = words[at : at + 20_000]
                 self.table[first + at : first + at + len(part)] = self.net.gates(self.net.inputs(part)[0])[1:]
         get = self.index.__getitem__
-        return [np.fromiter(map(get, r), np.int64, len(r)) - 1 for r in rows]
+        return [np.fromiter(map(get, r), np.int32, len(r)) - 1 for r in rows]
 
     def logits(self, texts: list[str]) -> np.ndarray:
         """The highest window's logit of each text; minus infinity without words."""
@@ -230,24 +246,26 @@ def fit(texts: list[str], labels: list[int], weights: tuple[float, float] = (1.0
     """Fit on documents with label 1 or 0. A clean document's windows are all clean; of a toxic one, the highest so far (at
     first, all) counts as toxic. weights: how many rows a clean and a toxic one stand for, used in the calibration."""
     rng = np.random.default_rng(seed)
-    rows = [words_of(t) for t in texts]
-    used = [k for k, r in enumerate(rows) if r]
+    index: dict[bytes, int] = {}
+    rows = [np.fromiter((index.setdefault(w, len(index)) for w in words_of(t)), np.int32) for t in texts]
+    used = [k for k, r in enumerate(rows) if len(r)]
     rows, labels = [rows[k] for k in used], np.array([labels[k] for k in used], np.int64)
     if not len(rows) or labels.min() == labels.max():
         net = Network({}, seed)
         net.slope, net.shift = 0.0, 4.0 if len(rows) and labels.min() == 1 else -4.0
         return net
-    seen: dict[bytes, int] = {}
+    words = list(index)
+    seen = np.zeros(len(words), np.int32)
     for r in rows:
-        for w in set(r):
-            seen[w] = seen.get(w, 0) + 1
-    net = Network({w: k + 1 for k, w in enumerate(sorted(w for w, n in seen.items() if n >= 5))}, seed)
-    words = sorted(seen)
-    index = {w: k for k, w in enumerate(words)}
-    windows, owner = windows_of([np.fromiter(map(index.__getitem__, r), np.int64, len(r)) for r in rows])
+        seen[np.unique(r)] += 1
+    net = Network({w: k + 1 for k, w in enumerate(sorted(w for w, n in zip(words, seen, strict=True) if n >= 5))}, seed)
+    windows, owner = windows_of(rows)
+    n_rows = len(rows)
+    del index, rows
     own = np.fromiter((net.vocabulary.get(w, 0) for w in words), np.int64, len(words))
-    buckets, counts = grams_of(words)
-    starts = np.r_[0, np.cumsum(counts)]
+    buckets, counts = all_grams(words)
+    starts = np.r_[0, np.cumsum(counts, dtype=np.int64)]
+    del words
     m = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     squares = [np.full(len(net.words), 1e-6, np.float32), np.full(BUCKETS, 1e-6, np.float32)]
     step, best = 0, rng.random(len(windows))
@@ -271,7 +289,7 @@ def fit(texts: list[str], labels: list[int], weights: tuple[float, float] = (1.0
             n = counts[ids]
             mine = np.repeat(starts[ids] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
             bucket = buckets[mine]
-            mean = np.add.reduceat(net.chars[bucket], np.r_[0, np.cumsum(n)[:-1]], axis=0) / n[:, None]
+            mean = mean_rows(net.chars, bucket, n)
             inputs = np.concatenate([net.words[own[ids]], mean], axis=1).astype(np.float32)
             logit, cache = net.forward(net.gates(inputs), inverse, keep=True)
             y = toxic[part].astype(np.float32)
@@ -300,11 +318,10 @@ def fit(texts: list[str], labels: list[int], weights: tuple[float, float] = (1.0
                 a += 0.1 * (g[k] - a)
                 b += 0.001 * (g[k] * g[k] - b)
                 v -= (0.01 * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
-        means = np.add.reduceat(net.chars[buckets], starts[:-1], axis=0) / counts[:, None]
-        gates = net.gates(np.concatenate([net.words[own], means], axis=1).astype(np.float32))
+        gates = net.gates(np.concatenate([net.words[own], mean_rows(net.chars, buckets, counts)], axis=1))
         for lo in range(0, len(windows), 1024):
             best[lo : lo + 1024] = net.forward(gates, windows[lo : lo + 1024])
-    top = np.full(len(rows), -np.inf)
+    top = np.full(n_rows, -np.inf)
     np.maximum.at(top, owner, best)
     net.slope, net.shift = calibrate(top, labels, np.where(labels == 1, weights[1], weights[0]))
     return net
@@ -336,8 +353,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     key = F.xxhash64(F.col("id").cast("string"))
     chosen = rows.filter("y = 1").orderBy(key, "id").limit(max_toxic).unionByName(rows.filter("y = 0").orderBy(key, "id").limit(max_clean))
     got = docs.select(quoted(id_col).alias("id"), quoted(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id").select("id", "text", "y").collect()
-    got = list({r.id: r for r in got}.values())
-    got.sort(key=lambda r: zlib.crc32(str(r.id).encode()))
+    got = sorted({r.id: r for r in got}.values(), key=lambda r: zlib.crc32(str(r.id).encode()))
     n = {y: sum(r.y == y for r in got) for y in (0, 1)}
     weights = tuple(counts.get(y, 0) / max(1, n[y]) or 1.0 for y in (0, 1))
     return fit([r.text or "" for r in got], [r.y for r in got], weights)
