@@ -25,6 +25,7 @@ BUCKETS = 1 << 14
 GRAMS = (3, 4, 6)
 MAX_TOXIC, MAX_CLEAN = 1000, 2000  # labelled rows that the model is fitted on, at most
 EPOCHS, BATCH = 6, 256
+STEPS = 360  # of training at least: small samples get more epochs and smaller batches
 THRESHOLD = 0.3
 
 
@@ -270,6 +271,8 @@ def fit(texts: list[str], labels: list[int], weights: tuple[float, float] = (1.0
     squares = [np.full(len(net.words), 1e-6, np.float32), np.full(BUCKETS, 1e-6, np.float32)]
     step, best = 0, rng.random(len(windows))
     toxic = labels[owner] == 1
+    batch = int(np.clip(len(windows) // 16, 32, BATCH))
+    epochs = max(epochs, min(40, -(-STEPS * batch // len(windows))))
     for epoch in range(epochs):
         # some windows of each document, the highest first
         order = np.lexsort((-best - 1e-3 * rng.random(len(best)), owner))
@@ -279,8 +282,8 @@ def fit(texts: list[str], labels: list[int], weights: tuple[float, float] = (1.0
         chosen = np.unique(np.r_[chosen, rng.choice(extra, min(len(extra), 3 * int((~toxic[chosen]).sum())))])
         rng.shuffle(chosen)
         balance = (~toxic[chosen]).sum() / max(1, toxic[chosen].sum())
-        for lo in range(0, len(chosen), BATCH):
-            part = chosen[lo : lo + BATCH]
+        for lo in range(0, len(chosen), batch):
+            part = chosen[lo : lo + batch]
             uniq, inverse = np.unique(windows[part], return_inverse=True)
             inverse = inverse.reshape(windows[part].shape)
             if uniq[0] != 0:
