@@ -94,23 +94,22 @@ def _name(match: Column, key: str, salt: Column) -> Column:
     rest = F.split(F.substring(match, F.char_length(title) + 1, F.lit(1000)), " ")
     gender = F.when(bare.isin(*MEN), "m").when(bare.isin(*WOMEN), "f").otherwise("n")
 
+    script = script_of(match)
+    names = F.create_map(*(x for (sc, g), told in GIVEN.items() for x in (F.lit(f"{sc} {g}"), F.array(*map(F.lit, told.split())))))
+    syllables = F.create_map(*(x for sc, told in SYLLABLES.items() for x in (F.lit(sc), F.array(*map(F.lit, told.split())))))
+
     def given(word: Column) -> Column:
-        h = _hex(key, "given", word, F.lit(0))
-        out = F.lit("")
-        for script in SYLLABLES:
-            for g in ("m", "f"):
-                names = F.array(*map(F.lit, GIVEN[script, g].split()))
-                out = F.when((script_of(match) == script) & ((gender == g) | ((gender == "n") & ((_number(h, 1) % 2) == (0 if g == "m" else 1)))), F.get(names, _number(h, 3, 6) % len(GIVEN[script, g].split()))).otherwise(out)
-        return out
+        def of(h: Column) -> Column:
+            own = F.when(gender == "n", F.when(_number(h, 1) % 2 == 0, "m").otherwise("f")).otherwise(gender)
+            return _bind(F.element_at(names, F.concat_ws(" ", script, own)), lambda n: F.get(n, _number(h, 3, 6) % F.size(n)))
+
+        return _bind(_hex(key, "given", word, F.lit(0)), of)
 
     def family(word: Column) -> Column:
-        h = _hex(key, "family", word, salt)
-        out = F.lit("")
-        for script, told in SYLLABLES.items():
-            syllables = told.split()
-            made = F.concat(*(F.get(F.array(*map(F.lit, syllables)), _number(h, k * 4 + 1, 4) % len(syllables)) for k in range(5)))
-            out = F.when(script_of(match) == script, F.initcap(made)).otherwise(out)
-        return out
+        def of(h: Column) -> Column:
+            return _bind(F.element_at(syllables, script), lambda y: F.initcap(F.concat(*(F.get(y, _number(h, k * 4 + 1, 4) % F.size(y)) for k in range(5)))))
+
+        return _bind(_hex(key, "family", word, salt), of)
 
     last = F.element_at(rest, -1)
     firsts = F.transform(F.slice(rest, 1, F.size(rest) - 1), given)
@@ -173,7 +172,7 @@ def resolve(found: DataFrame, key: str, rounds: int = ROUNDS) -> DataFrame:
     all_ = cut(found.select("kind", "entity", "sample"))
 
     def made(rows: DataFrame, salt: Column) -> DataFrame:
-        s = entity_of(surrogate(F.col("sample"), F.col("kind"), key, salt), F.col("kind"))
+        s = _bind(surrogate(F.col("sample"), F.col("kind"), key, salt), lambda x: entity_of(x, F.col("kind")))
         return rows.withColumn("salt", salt).withColumn("made", s)
 
     real = all_.select("kind", F.col("entity").alias("made"))
