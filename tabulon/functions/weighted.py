@@ -26,20 +26,28 @@ def _meet(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(right, out, "inner").drop(*(f"{k}_r" for k in keys))
 
 
+def running_sum_before(rows: DataFrame, keys: list[str], order: str, value: str, buckets: int = BUCKETS) -> DataFrame:
+    """rows (one for each value of order within the keys) with _before, the sum of value over smaller ones, and _total.
+
+    Approximate quantiles cut each group to buckets; sums of buckets are few, and inside a bucket a window adds up. So
+    no window holds a large group as a whole, and the result is exact wherever the cuts fall.
+    """
+    cuts = rows.groupBy(*keys).agg(F.percentile_approx(order, [k / buckets for k in range(1, buckets)], 1000).alias("_cuts"))
+    placed = _meet(rows, cuts, keys).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col(order)))).drop("_cuts")
+    sums = placed.groupBy(*keys, "_b").agg(F.sum(value).alias("_s"))
+    whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    before = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*keys, "_b", F.coalesce(F.sum("_s").over(before), F.lit(0.0)).alias("_start"), F.sum("_s").over(whole).alias("_total"))
+    inside = Window.partitionBy(*keys, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    out = _meet(placed, sums, [*keys, "_b"])
+    return out.withColumn("_before", F.col("_start") + F.coalesce(F.sum(value).over(inside), F.lit(0.0))).drop("_b", "_start")
+
+
 def grouped_weighted_quantiles(rows: DataFrame, keys: list[str], value: str, weight: str, qs: list[float], buckets: int = BUCKETS) -> DataFrame:
     """keys, q_0, q_1, ... for each group of plain key columns (nulls are a group)."""
     rows = rows.filter(col(value).isNotNull() & col(weight).isNotNull())
     one = rows.groupBy(*keys, col(value).cast("double").alias("_v")).agg(F.sum(weight).alias("_w"), F.min(weight).alias("_lo"))
-    cuts = one.groupBy(*keys).agg(F.percentile_approx("_v", [k / buckets for k in range(1, buckets)], 1000).alias("_cuts"))
-    # below: the cuts under the value; equal values share a bucket
-    placed = _meet(one, cuts, keys).select(*keys, "_v", "_w", "_lo", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).alias("_b"))
-    sums = placed.groupBy(*keys, "_b").agg(F.sum("_w").alias("_s"))
-    whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    before = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*keys, "_b", F.coalesce(F.sum("_s").over(before), F.lit(0.0)).alias("_before"), F.sum("_s").over(whole).alias("_total"))
-    both = _meet(placed, sums, [*keys, "_b"])
-    inside = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    both = both.withColumn("_run", F.col("_before") + F.coalesce(F.sum("_w").over(inside), F.lit(0.0)) + F.col("_lo"))
+    both = running_sum_before(one, keys, "_v", "_w", buckets).withColumn("_run", F.col("_before") + F.col("_lo"))
     return both.groupBy(*keys).agg(*(F.coalesce(F.max(F.when(F.col("_run") <= q * F.col("_total"), F.col("_v"))), F.min("_v")).alias(f"q_{k}") for k, q in enumerate(qs)))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import col, drop_missing, nan_to_null, require
 from ..functions.distributions import normal_cdf, normal_pdf, normal_quantile, normal_two_sided
 from ..functions.moments import partial_sums, solve
+from ..functions.weighted import running_sum_before
 from .regressors import linear, summary_frame
 
 
@@ -115,10 +116,9 @@ class _Classifier:
             label = (p >= self.proba_threshold).cast("double")
             r = df.agg(F.avg(F.when(y == 1, label)), F.avg(F.when(y == 0, 1 - label))).first()
             return float((r[0] + r[1]) / 2)
-        # ranks by distinct score: counts first, so only distinct scores meet in the running sum
+        # ranks by distinct score: counts first, then a running sum in two levels
         by = df.select(p.alias("p"), y.alias("y")).groupBy("p").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-        by.createOrReplaceTempView("_roc_points")
-        r = df.sparkSession.sql("SELECT sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)) FROM (SELECT pos, neg, coalesce(sum(neg) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM _roc_points)").first()
+        r = running_sum_before(by, [], "p", "neg").agg(F.sum(F.col("pos") * (F.col("_before") + F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg"))).first()
         return float(r[0])
 
     def cov_matrix(self) -> DataFrame:
