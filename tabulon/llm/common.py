@@ -2,35 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut, shared_dir
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+__all__ = ["binary", "cut", "fresh", "new_folder", "quoted", "shared_dir", "small_batches", "strings", "table"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    told = spark.conf.get("spark.checkpoint.dir", None)
-    if told:
-        return told.rstrip("/")
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isDefined():
-        return jsc.getCheckpointDir().get().rstrip("/")
-    own = tempfile.mkdtemp(prefix="tabulon-shared-")
-    spark.sparkContext.setCheckpointDir(own)
-    return shared_dir(spark)
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise a small table and cut its lineage, on storage that outlives executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:

@@ -15,6 +15,7 @@ second filter holds are suspected repeats; only they are shuffled, for exact cou
 from __future__ import annotations
 
 import hashlib
+import uuid
 import zlib
 
 import numpy as np
@@ -103,7 +104,7 @@ def _slot_rows(batches):
             yield pa.RecordBatch.from_arrays([pa.array(at + (seg << SEGMENT_BITS), pa.int64())], ["slot"])
 
 
-_FILTERS: dict[int, np.ndarray] = {}
+_FILTERS: dict[str, np.ndarray] = {}
 
 
 def _filter_of(sent, bits: int) -> np.ndarray:
@@ -195,7 +196,7 @@ def drop_shared_lines(
     id_type = slim.schema["id"].dataType
     row = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("id", id_type)])
     if 1 << bits <= max_filter_bits:
-        sent = spark.sparkContext.broadcast({"id": hash((id(df), spark.sparkContext.applicationId, bits, size)), "segments": {r[0]: bytes(r[1]) for r in segments.collect()}})
+        sent = spark.sparkContext.broadcast({"id": uuid.uuid4().hex, "segments": {r[0]: bytes(r[1]) for r in segments.collect()}})
         suspects = slim.mapInArrow(_lines(None, bits, min_chars, sent), row)
     else:
         slots = cut(segments.mapInArrow(_slot_rows, "slot long"))
