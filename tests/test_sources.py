@@ -1,3 +1,5 @@
+import logging
+
 import pytest
 
 import __spark_entry__ as entry
@@ -39,6 +41,9 @@ def test_options(monkeypatch, tmp_path):
     assert o["spark.hadoop.fs.s3a.endpoint"] == "https://store.example.org" and o["spark.hadoop.fs.s3a.connection.ssl.enabled"] == "true"
     init_logger(str(tmp_path / "logs" / "x.log")).info("hello")
     assert "hello" in (tmp_path / "logs" / "x.log").read_text()
+    root = logging.getLogger()
+    for h in list(root.handlers):
+        root.removeHandler(h)
 
 
 def test_stream_equals_batch(spark, tmp_path):
