@@ -10,6 +10,7 @@ RAW = frozenset("script style noscript template textarea title iframe xmp noembe
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li listing main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
+MAX_DEPTH = 200  # deeper elements become neighbours of those at this depth, so that no page nests without bound; their text stays
 #: An open element on the left is ended by the start of one on the right, up to the nearest of its bounds.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select", "datalist"})}
 CLOSES |= {x: ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}) for x in ("tbody", "thead", "tfoot")}
@@ -89,7 +90,7 @@ def parse(source: str) -> Node:
             if last is not None:
                 del stack[last:]
         node = Node(tag, marks_of(m[3]))
-        stack[-1].children.append(node)
+        stack[min(len(stack) - 1, MAX_DEPTH)].children.append(node)
         if tag in VOID or m[3].rstrip().endswith("/") and tag not in BLOCK:
             continue
         if tag in RAW:

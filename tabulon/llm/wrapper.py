@@ -3,7 +3,8 @@
 A few pages of each host (at most SLOTS, one for each residue of a hash) are parsed and aligned by simple tree matching. Nodes of the aligned tree that
 have the same text on all pages are template; those that vary are slots. The wrapper of the host is the path
 to the region that holds the varying prose, the paths of regions that hold none of it (menus, adverts, forms, comments, by their tags and marks), and short
-constant labels inside the region. It is applied to every page of the host, in whole.
+constant labels inside the region. The labels are candidates only: all pages of the host are counted, and a label that a share of them (CONSTANT_SHARE) has at
+its place is template. The wrapper is applied to every page of the host, in whole.
 
 Constant prose inside the region stays: pages of one host may be copies, or quote the same passage, and that is content.
 """
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from functools import lru_cache
 
 import pyarrow as pa
@@ -24,6 +26,7 @@ from .dom import BLOCK, RAW, Node, parse
 
 SLOTS = 8
 MAX_NODES = 4000  # of a sample page's tree that are aligned; a larger page is no sample
+CONSTANT_SHARE = 0.9  # of all pages of the host
 BROADCAST_BYTES = 32 << 20
 SKIPPED_TAGS = RAW | frozenset("head nav footer aside form button select datalist menu dialog canvas audio video picture map".split())
 SKIPPED_MARKS = frozenset(
@@ -199,6 +202,23 @@ def main_text(page: str, wrapper: dict) -> str:
     return "\n".join(blocks)
 
 
+def held_constants(page: str, wrapper: dict) -> set[tuple[str, str]]:
+    """The constant labels of the wrapper that this page has at their places."""
+    constant, found = {tuple(x) for x in wrapper["constant"]}, set()
+
+    def walk(node: Node, at: str):
+        inner = [c for c in node.children if isinstance(c, Node)]
+        if not inner and (at, text := own_text(node)) in constant:
+            found.add((at, text))
+        for c in inner:
+            if not skipped(c, True):
+                walk(c, f"{at}/{c.label}" if at else c.label)
+
+    for region in regions(parse(page), wrapper["region"]):
+        walk(region, "")
+    return found
+
+
 @lru_cache(maxsize=512)
 def _wrapper(told: str) -> dict:
     return json.loads(told)
@@ -212,6 +232,18 @@ def _induce(t: pa.Table) -> pa.Table:
     return pa.table({"host": t.column("host")[:1].cast(pa.string()), "wrapper": [json.dumps(induce(pages))]})
 
 
+def _count(batches):
+    """Pages by host (place and label null), and pages by host that have a label at its place."""
+    for b in small_batches(batches, 4.0):
+        n: Counter = Counter()
+        for host, page, told in zip(b.column(0).to_pylist(), binary(b, 1), b.column(2).to_pylist(), strict=True):
+            n[host, None, None] += 1
+            n.update((host, *x) for x in held_constants(page.decode("utf-8", "replace"), _wrapper(told)))
+        if n:
+            columns = [*zip(*n, strict=True), tuple(n.values())]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.string(), pa.string(), pa.string(), pa.int64()), strict=True)], ["host", "at", "label", "n"])
+
+
 def _extract(at: tuple[int, int, int], names: list[str]):
     def run(batches):
         for b in small_batches(batches, 4.0):
@@ -227,15 +259,33 @@ def host_of(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1)), F.lit(""))
 
 
+def meet(rows: DataFrame, made: DataFrame, how: str) -> DataFrame:
+    """rows joined with wrappers by host; the wrappers go to all tasks only if their bytes are few."""
+    told = made.agg(F.sum(F.octet_length("wrapper") + F.octet_length("host"))).first()[0] or 0
+    return rows.join(F.broadcast(made) if told <= BROADCAST_BYTES else made, "host", how)
+
+
+def confirm(rows: DataFrame, made: DataFrame, share: float = CONSTANT_SHARE) -> DataFrame:
+    """The wrappers with those constant labels only that a share of all the host's pages has; rows are (host, html)."""
+    shape = F.from_json("wrapper", "region array<string>, constant array<array<string>>")
+    unsure = cut(made.filter(F.size(shape["constant"]) > 0))
+    n = meet(rows, unsure, "inner").select("host", "html", "wrapper").mapInArrow(_count, "host string, at string, label string, n long").groupBy("host", "at", "label").agg(F.sum("n").alias("n"))
+    n = cut(n)
+    pages = n.filter("at is null").select("host", F.col("n").alias("pages"))
+    sure = n.filter("at is not null").join(pages, "host").filter(F.col("n") >= share * F.col("pages")).groupBy("host").agg(F.array_sort(F.collect_list(F.array("at", "label"))).alias("sure"))
+    told = F.to_json(F.struct(shape["region"].alias("region"), F.coalesce("sure", F.array().cast("array<array<string>>")).alias("constant")))
+    return made.join(sure, "host", "left").select("host", told.alias("wrapper"))
+
+
 def wrappers(df: DataFrame, url_col: str = "url", html_col: str = "html", slots: int = SLOTS) -> DataFrame:
-    """(host, wrapper): one row per host. The sample is the page with the smallest hash in each residue of the hash, so it is aggregated
+    """(host, wrapper): one row per host. The sample that is aligned is the page with the smallest hash in each residue of the hash, so it is aggregated
     before it is shuffled, and a host with very many pages is like any other."""
     rows = df.select(host_of(quoted(url_col).cast("string")).alias("host"), quoted(html_col).cast("string").alias("html")).filter("html is not null")
     rows = rows.withColumn("h", F.xxhash64("html"))
     # the hash alone is aggregated; the pages that have it are few
     chosen = rows.groupBy("host", F.pmod("h", F.lit(slots)).alias("slot")).agg(F.min("h").alias("h")).select("host", "h")
     pages = rows.join(chosen, ["host", "h"], "left_semi").groupBy("host", "h").agg(F.first("html").alias("html"))
-    return pages.groupBy("host").applyInArrow(_induce, "host string, wrapper string")
+    return confirm(rows.select("host", "html"), cut(pages.groupBy("host").applyInArrow(_induce, "host string, wrapper string")))
 
 
 def extract_main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", slots: int = SLOTS) -> DataFrame:
@@ -247,9 +297,8 @@ def extract_main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "ur
     names = [id_col, url_col]
     names.append(fresh(names, "text"))
     made = cut(wrappers(df, url_col, html_col, slots))
-    told = made.agg(F.sum(F.octet_length("wrapper") + F.octet_length("host"))).first()[0] or 0
     rows = df.select(quoted(id_col).alias("id"), quoted(url_col).alias("url"), quoted(html_col).cast("string").alias("html")).withColumn("host", host_of(F.col("url").cast("string")))
-    joined = rows.join(F.broadcast(made) if told <= BROADCAST_BYTES else made, "host", "left").select("id", "url", "html", "wrapper")
+    joined = meet(rows, made, "left").select("id", "url", "html", "wrapper")
     # html stands second for the reader below, the url goes through
     schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField(url_col, df.schema[url_col].dataType), T.StructField(names[2], T.StringType())])
     return joined.mapInArrow(_extract((0, 2, 3), names), schema)

@@ -1,7 +1,7 @@
 import random
 
 from tabulon.llm.dom import parse
-from tabulon.llm.wrapper import Aligned, align, extract_main_text, induce, main_text, match, size
+from tabulon.llm.wrapper import Aligned, align, extract_main_text, induce, main_text, match, size, wrappers
 
 EMPTY = {"region": [], "constant": []}
 
@@ -74,3 +74,26 @@ def test_table(spark):
     want = [(k, u, "" if not h else "no url" if k == 100 else f"text {1 if k is None else k} é") for k, u, h in rows]
     assert sorted(map(tuple, out.collect()), key=repr) == sorted(want, key=repr)
     assert extract_main_text(df.limit(0)).count() == 0
+
+
+def test_labels_are_counted_over_all_pages(spark):
+    """Eight pages propose labels; those that only a part of the host's pages have are content."""
+
+    def body(k, label):
+        return f"<article><p>Words of page {k} differ {k * 7}.</p><span>Print version</span><div>{label}</div></article>"
+
+    rows = [(k, "https://a.example/", page(k, body(k, "Rubric"))) for k in range(8)] + [(k, "https://b.example/", page(k, body(k, f"Rubric {k}" if k < 40 else "Rubric"))) for k in range(8, 208)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    texts = {r.page_id: r.text for r in extract_main_text(df, slots=3).collect()}
+    assert texts[2] == "Words of page 2 differ 14.\nPrint version\nRubric"  # three pages propose nothing
+    texts = {r.page_id: r.text for r in extract_main_text(df).collect()}
+    assert all(texts[k].startswith(f"Words of page {k} differ {k * 7}.") and "Print version" not in texts[k] for k in range(8, 208))
+    # 168 of 200 pages have the same rubric: under the share, so it stays whatever the aligned pages show
+    assert all(texts[k].endswith("\nRubric") for k in range(40, 208))
+    assert wrappers(df.limit(0)).count() == 0
+
+
+def test_deep_pages():
+    for tag in ("div", "b", "article"):
+        deep = f"<{tag}>" * 20_000 + "<p>deep text</p>" + f"</{tag}>" * 20_000 + "<p>after"
+        assert main_text(deep, EMPTY).split("\n") == ["deep text", "after"][: 1 if tag == "article" else 2] and induce([deep, deep + "x"] * 2)
