@@ -2,7 +2,8 @@
 
 Entities are found by patterns. Each gets a surrogate that depends on a secret key, its type and its normal form alone, so one
 person or address is the same surrogate everywhere, and keeps its format: lengths, punctuation, digits, letter case, script, a
-title's gender, a valid check digit. Two entities never share a surrogate, and none is an entity of the
+title's gender, a valid check digit. A name is two entities: the family name alone, which stays the same for all who bear it, and the
+given names of a bearer, which differ from those of the family's others of that gender. Two entities never share a surrogate, and none is an entity of the
 corpus: the distinct entities are aggregated, those that collide get a further round of the hash, and the few that needed one are joined back to their rows.
 """
 
@@ -39,6 +40,7 @@ GIVEN = {
 SYLLABLES = {"latin": "ba co del fen gar hol jor kam lin mor nes pal quin rav sol tar ul ven wil zan", "cyrillic": "ба вол гор дан жар кол лен мир нов пет рам сер тим фед хар чер", "greek": "βα γορ δαν ζακ θεο καλ λαμ μιχ νικ παπ ρεν σαρ τασ φωτ χρυ"}
 MAX_EXCEPTIONS = 50_000
 ROUNDS = 64
+POOL_ROUNDS = 8  # after them a made-up middle name stands behind the given name, as the lists are short
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -87,13 +89,19 @@ def script_of(text: Column) -> Column:
     return F.when(F.rlike(text, F.lit(r"\p{IsCyrillic}")), "cyrillic").when(F.rlike(text, F.lit(r"\p{IsGreek}")), "greek").otherwise("latin")
 
 
-def _name(match: Column, key: str, salt: Column) -> Column:
+TITLE = r"^(\S+ )"
+
+
+def gender_of(match: Column) -> Column:
+    bare = F.regexp_replace(F.regexp_extract(match, TITLE, 1), r"[. ]", "")
+    return F.when(bare.isin(*MEN), "m").when(bare.isin(*WOMEN), "f").otherwise("n")
+
+
+def _name(match: Column, key: str, salt: Column, given_salt: Column) -> Column:
     """Title as it is, given names of its gender and script, and a family name that depends on the family name alone."""
-    title = F.regexp_extract(match, r"^(\S+ )", 1)
-    bare = F.regexp_replace(title, r"[. ]", "")
+    title = F.regexp_extract(match, TITLE, 1)
     rest = F.split(F.substring(match, F.char_length(title) + 1, F.lit(1000)), " ")
-    gender = F.when(bare.isin(*MEN), "m").when(bare.isin(*WOMEN), "f").otherwise("n")
-
+    gender = gender_of(match)
     script = script_of(match)
     names = F.create_map(*(x for (sc, g), told in GIVEN.items() for x in (F.lit(f"{sc} {g}"), F.array(*map(F.lit, told.split())))))
     syllables = F.create_map(*(x for sc, told in SYLLABLES.items() for x in (F.lit(sc), F.array(*map(F.lit, told.split())))))
@@ -103,31 +111,39 @@ def _name(match: Column, key: str, salt: Column) -> Column:
             own = F.when(gender == "n", F.when(_number(h, 1) % 2 == 0, "m").otherwise("f")).otherwise(gender)
             return _bind(F.element_at(names, F.concat_ws(" ", script, own)), lambda n: F.get(n, _number(h, 3, 6) % F.size(n)))
 
-        return _bind(_hex(key, "given", word, F.lit(0)), of)
+        return _bind(_hex(key, "given", word, given_salt), of)
 
-    def family(word: Column) -> Column:
+    def made_up(kind: str, word: Column, salt: Column) -> Column:
         def of(h: Column) -> Column:
             return _bind(F.element_at(syllables, script), lambda y: F.initcap(F.concat(*(F.get(y, _number(h, k * 4 + 1, 4) % F.size(y)) for k in range(5)))))
 
-        return _bind(_hex(key, "family", word, salt), of)
+        return _bind(_hex(key, kind, word, salt), of)
 
     last = F.element_at(rest, -1)
-    firsts = F.transform(F.slice(rest, 1, F.size(rest) - 1), given)
-    return F.concat(title, F.array_join(F.concat(firsts, F.array(family(last))), " "))
+    firsts = F.slice(rest, 1, F.size(rest) - 1)
+    middle = F.when(given_salt >= POOL_ROUNDS, F.array(made_up("middle", F.array_join(firsts, " "), given_salt))).otherwise(F.array().cast("array<string>"))
+    return F.concat(title, F.array_join(F.concat(F.transform(firsts, given), middle, F.array(made_up("family", last, salt))), " "))
 
 
 def entity_of(match: Column, kind: Column) -> Column:
-    """The normal form: what stays the same when an entity is written otherwise. Of a name, the family name."""
+    """The normal form: what stays the same when an entity is written otherwise. Of a name, the family name; of its given names, the gender and all words."""
     digits = F.regexp_replace(match, r"[^0-9]", "")
     return (
         F.when(kind.isin("phone", "card", "ssn"), digits)
         .when(kind == "iban", F.replace(match, F.lit(" "), F.lit("")))
         .when(kind == "name", F.element_at(F.split(match, " "), -1))
+        .when(kind == "given", F.concat_ws(" ", gender_of(match), F.regexp_replace(match, TITLE, "")))
         .when(kind.isin("email", "token"), F.lower(match))
         .otherwise(match)
     )
 
 
+def parts_of(match: Column, kind: Column) -> Column:
+    """The entities (kind, entity) of a match: two of a name with given names, else one."""
+    given = F.when((kind == "name") & (F.size(F.split(match, " ")) > 2), F.struct(F.lit("given").alias("kind"), entity_of(match, F.lit("given")).alias("entity")))
+    return F.filter(F.array(F.struct(kind.alias("kind"), entity_of(match, kind).alias("entity")), given), lambda x: x.isNotNull())
+
+
 def surrogate(match: Column, kind: Column, key: str, salt: Column) -> Column:
     """The replacement of one match; salt is the round of the hash, 0 but after collisions."""
 
@@ -152,7 +168,7 @@ def surrogate(match: Column, kind: Column, key: str, salt: Column) -> Column:
         F.when(kind == "email", email)
         .when(kind == "token", _bind(_hex(key, "token", F.lower(match), salt), lambda h: _shape(match, h, True)))
         .when(kind == "ip", octets)
-        .when(kind == "name", _name(match, key, salt))
+        .when(kind.isin("name", "given"), _name(match, key, F.when(kind == "name", salt).otherwise(0), F.when(kind == "given", salt).otherwise(0)))
         .when(kind == "iban", F.concat(F.substring(match, 1, 2), _bind(_hex(key, "iban", F.replace(match, F.lit(" "), F.lit("")), salt), lambda h: _shape(F.substring(match, F.lit(3), F.lit(60)), h))))
         .when(kind == "phone", digits_by_entity("phone"))
         .when(kind == "ssn", digits_by_entity("ssn"))
@@ -164,7 +180,8 @@ def entities(df: DataFrame, text_col: str) -> DataFrame:
     """Distinct (kind, entity, sample): sample is one way in which the corpus writes it."""
     found = df.select(F.explode(F.regexp_extract_all(F.coalesce(quoted(text_col).cast("string"), F.lit("")), F.lit(ANY), 0)).alias("match")).groupBy("match").agg(F.count("*").alias("n"))
     found = found.withColumn("kind", kind_of(F.col("match")))
-    return found.select("kind", entity_of(F.col("match"), F.col("kind")).alias("entity"), "match", "n").groupBy("kind", "entity").agg(F.min("match").alias("sample"), F.sum("n").alias("n"))
+    found = found.select(F.inline(parts_of(F.col("match"), F.col("kind"))), "match", "n")
+    return found.groupBy("kind", "entity").agg(F.min("match").alias("sample"), F.sum("n").alias("n"))
 
 
 def resolve(found: DataFrame, key: str, rounds: int = ROUNDS) -> DataFrame:
@@ -213,14 +230,17 @@ def replace_personal_data(df: DataFrame, key: str, text_col: str = "text", id_co
         else:
             # the rows concerned meet their exceptions by what tells rows apart: the text itself
             digest = F.sha2(text, 256)
-            mine = rows.select(digest.alias(own), F.explode(F.array_distinct(quoted(marks))).alias("match")).withColumn("kind", kind_of(F.col("match"))).withColumn("entity", entity_of(F.col("match"), F.col("kind")))
-            mine = mine.select(own, "kind", "entity").distinct().join(special, ["kind", "entity"]).groupBy(own).agg(F.map_from_entries(F.collect_list(F.struct(label, F.col("salt")))).alias(salts))
+            mine = rows.select(digest.alias(own), F.explode(F.array_distinct(quoted(marks))).alias("match")).withColumn("kind", kind_of(F.col("match")))
+            mine = mine.select(own, F.inline(parts_of(F.col("match"), F.col("kind")))).distinct().join(special, ["kind", "entity"]).groupBy(own).agg(F.map_from_entries(F.collect_list(F.struct(label, F.col("salt")))).alias(salts))
             rows = rows.join(mine, digest == quoted(own), "left").drop(own)
 
     def replaced(m: Column) -> Column:
         def of(kind: Column) -> Column:
-            salt = F.coalesce(F.try_element_at(quoted(salts), F.concat_ws("\x1f", kind, entity_of(m, kind))), F.lit(0))
-            return F.struct(kind.alias("kind"), surrogate(m, kind, key, salt).alias("text"))
+            def salt(k: Column) -> Column:
+                return F.coalesce(F.try_element_at(quoted(salts), F.concat_ws("\x1f", k, entity_of(m, k))), F.lit(0))
+
+            new = F.when(kind == "name", _name(m, key, salt(kind), salt(F.lit("given")))).otherwise(surrogate(m, kind, key, salt(kind)))
+            return F.struct(kind.alias("kind"), new.alias("text"))
 
         return _bind(kind_of(m), of)
 

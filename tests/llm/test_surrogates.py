@@ -69,5 +69,15 @@ def test_collisions_are_resolved(spark, monkeypatch):
     monkeypatch.setattr(surrogates, "surrogate", real)
 
 
+def test_bearers_of_a_family_name_stay_apart(spark):
+    """Sixty given names of one family, more than the list has: all differ, the family name is the same, and each stays the same everywhere."""
+    given = [a + b for a in ("Jo", "Ka", "Le", "Mi", "Su", "Ta") for b in ("bel", "din", "fur", "gan", "hol", "jit", "kor", "lam", "nov", "pel")]
+    rows = [(k, f"then Mr. {g} Stone came; Mr {g} Stone and Mr Stone left") for k, g in enumerate(given)]
+    for limit in (50_000, 0):
+        got = [re.fullmatch(r"then Mr\. (.+) (\w+) came; Mr (.+) (\w+) and Mr (\w+) left", r.text).groups() for r in run(spark, rows, max_exceptions=limit).values()]
+        assert len({g[0] for g in got}) == len(given) and len({x for g in got for x in (g[1], g[3], g[4])}) == 1
+        assert all(g[0] == g[2] and g[0].split()[0] in surrogates.GIVEN["latin", "m"] for g in got)
+
+
 def test_empty(spark):
     assert run(spark, ROWS[:0]) == {}
