@@ -282,9 +282,13 @@ def wrappers(df: DataFrame, url_col: str = "url", html_col: str = "html", slots:
     before it is shuffled, and a host with very many pages is like any other."""
     rows = df.select(host_of(quoted(url_col).cast("string")).alias("host"), quoted(html_col).cast("string").alias("html")).filter("html is not null")
     rows = rows.withColumn("h", F.xxhash64("html"))
-    # the hash alone is aggregated; the pages that have it are few
-    chosen = rows.groupBy("host", F.pmod("h", F.lit(slots)).alias("slot")).agg(F.min("h").alias("h")).select("host", "h")
-    pages = rows.join(chosen, ["host", "h"], "left_semi").groupBy("host", "h").agg(F.first("html").alias("html"))
+    # the hash alone is aggregated; the pages that have it are few, and only they are shuffled as long as the hashes of all hosts are small
+    chosen = cut(rows.groupBy("host", F.pmod("h", F.lit(slots)).alias("slot")).agg(F.min("h").alias("h")).select("host", "h"))
+    held = chosen.agg(F.sum(F.octet_length("host") + 8)).first()[0] or 0
+    if held <= BROADCAST_BYTES:
+        pages = rows.join(F.broadcast(chosen), ["host", "h"], "left_semi").groupBy("host", "h").agg(F.first("html").alias("html"))
+    else:  # copies of a page are one before the join, so no page that many share is a task of its own
+        pages = rows.groupBy("host", "h").agg(F.first("html").alias("html")).join(chosen, ["host", "h"], "left_semi")
     return confirm(rows.select("host", "html"), cut(pages.groupBy("host").applyInArrow(_induce, "host string, wrapper string")))
 
 

@@ -1,5 +1,6 @@
 import random
 
+from tabulon.llm import wrapper
 from tabulon.llm.dom import parse
 from tabulon.llm.wrapper import Aligned, align, extract_main_text, induce, main_text, match, size, wrappers
 
@@ -97,3 +98,11 @@ def test_deep_pages():
     for tag in ("div", "b", "article"):
         deep = f"<{tag}>" * 20_000 + "<p>deep text</p>" + f"</{tag}>" * 20_000 + "<p>after"
         assert main_text(deep, EMPTY).split("\n") == ["deep text", "after"][: 1 if tag == "article" else 2] and induce([deep, deep + "x"] * 2)
+
+
+def test_without_broadcasts(spark, monkeypatch):
+    rows = [(k, f"https://h{k % 3}.example/{k}", page(k, f"<article><p>text {k} é</p><span>Print version</span></article>")) for k in range(30)]
+    df = spark.createDataFrame(rows * 2, "page_id long, url string, html string").repartition(4)
+    want = sorted(map(tuple, extract_main_text(df).collect()))
+    monkeypatch.setattr(wrapper, "BROADCAST_BYTES", -1)
+    assert sorted(map(tuple, extract_main_text(df).collect())) == want and want[0][2] == "text 0 é"
