@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe xmp noembed noframes svg math object".split())
@@ -44,6 +45,12 @@ def parse(source: str) -> Node:
     """The tree under a root node; texts are str children with their references decoded."""
     root = Node("#root")
     stack, at, n = [root], 0, len(source)
+    opened: Counter = Counter()  # tags on the stack, so that it is searched only for what it holds
+
+    def end(k: int) -> None:
+        opened.subtract(x.tag for x in stack[k:])
+        del stack[k:]
+
     while at < n:
         lt = source.find("<", at)
         if lt < 0:
@@ -64,22 +71,19 @@ def parse(source: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-            else:
-                if tag == "br":
-                    stack[-1].children.append(Node("br"))
+            if opened[tag] > 0:
+                end(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag))
+            elif tag == "br":
+                stack[-1].children.append(Node("br"))
             continue
-        if tag in P_ENDS:
+        if tag in P_ENDS and opened["p"] > 0:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == "p":
-                    del stack[k:]
+                    end(k)
                     break
                 if stack[k].tag in P_BOUNDS:
                     break
-        if tag in CLOSES:
+        if tag in CLOSES and any(opened[x] > 0 for x in CLOSES[tag][0]):
             ends, bounds = CLOSES[tag]
             last = None
             for k in range(len(stack) - 1, 0, -1):
@@ -88,16 +92,17 @@ def parse(source: str) -> Node:
                 if stack[k].tag in ends:
                     last = k
             if last is not None:
-                del stack[last:]
+                end(last)
         node = Node(tag, marks_of(m[3]))
         stack[min(len(stack) - 1, MAX_DEPTH)].children.append(node)
         if tag in VOID or m[3].rstrip().endswith("/") and tag not in BLOCK:
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
+            over = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
             if tag in ("textarea", "title"):
-                node.children.append(html.unescape(source[at : end.start() if end else n]))
-            at = end.end() if end else n
+                node.children.append(html.unescape(source[at : over.start() if over else n]))
+            at = over.end() if over else n
             continue
         stack.append(node)
+        opened[tag] += 1
     return root
