@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from tabulon.llm.common import new_folder, table
 from tabulon.llm.decontam import remove_benchmark
 from tabulon.llm.line_dedup import drop_shared_lines
+from tabulon.llm.near_copies import keep_one_copy
 from tabulon.llm.packing import pack_texts
 from tabulon.llm.queries import usable_labels
-from tabulon.llm.simhash import keep_one
 from tabulon.llm.tokens import vocabulary_path
 from tabulon.llm.toxicity import drop_toxic, train
 
@@ -25,8 +25,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return keep_one(docs)
+    """One document of each group of near copies (five-word shingles, Jaccard similarity 0.8 or more) stays."""
+    return keep_one_copy(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
