@@ -32,14 +32,26 @@ SKIPPED_TAGS = RAW | frozenset("head nav footer aside form button select datalis
 SKIPPED_MARKS = frozenset(
     "ad ads adbox advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies footer menu modal nav navbar navigation newsletter notice notices pagination popup promo promotion related search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets reactions replies disqus masthead topbar contentinfo complementary".split()
 )
+#: A name with one of these pieces tells of a part, or that there is none, and is no part itself.
+QUALIFIERS = frozenset("has have with without no not is enabled disabled".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li td th dd dt blockquote pre figcaption caption".split())
 
 
-def skipped(node: Node, inside: bool) -> bool:
+@lru_cache(maxsize=1 << 14)
+def marked(marks: str) -> bool:
+    """Whether a whole name, or its first or last piece, is one of SKIPPED_MARKS, and no piece is a qualifier."""
+    for name in marks.split():
+        pieces = [x for x in re.split(r"[^a-z]+", name) if x]
+        if pieces and (pieces[0] in SKIPPED_MARKS or pieces[-1] in SKIPPED_MARKS) and QUALIFIERS.isdisjoint(pieces):
+            return True
+    return False
+
+
+def skipped(node: Node, inside: bool, by_marks: bool = True) -> bool:
     """Whether a node is no part of an article by its tag and marks. A header inside the article holds its title."""
     if node.tag in SKIPPED_TAGS or node.tag == "header" and not inside:
         return True
-    return bool(node.marks) and node.tag not in ("html", "body", "main", "article") and not SKIPPED_MARKS.isdisjoint(re.split(r"[^a-z]+", node.marks))
+    return by_marks and bool(node.marks) and node.tag not in ("html", "body", "main", "article") and marked(node.marks)
 
 
 def own_text(node: Node) -> str:
@@ -152,21 +164,23 @@ def induce(pages: list[str]) -> dict:
 
 
 def regions(tree: Node, path: list[str]) -> list[Node]:
-    """The nodes at this path; without any, the page's articles, else its main part, else its body or all of it."""
+    """The nodes at this path; without any, the page's articles, else its main part, else such parts inside nodes that their marks would skip (unless the
+    part itself has such a mark, as a comment), else all of the page."""
     found = [tree]
     for label in path:
         found = [c for x in found for c in x.children if isinstance(c, Node) and c.label == label]
     if found and path and found[0].tag not in ("html", "body"):
         return found
 
-    def seek(node: Node, tag: str) -> list[Node]:
+    def seek(node: Node, tag: str, by_marks: bool = True) -> list[Node]:
         out = []
         for c in node.children:
             if isinstance(c, Node):
-                out += [c] if c.tag == tag and not skipped(c, True) else [] if skipped(c, False) else seek(c, tag)
+                here = c.tag == tag and not skipped(c, True) and (by_marks or not marked(c.marks))
+                out += [c] if here else [] if skipped(c, False, by_marks) else seek(c, tag, by_marks)
         return out
 
-    return seek(tree, "article") or seek(tree, "main") or [tree]
+    return seek(tree, "article") or seek(tree, "main") or seek(tree, "article", False) or seek(tree, "main", False) or [tree]
 
 
 def main_text(page: str, wrapper: dict) -> str:
@@ -180,7 +194,7 @@ def main_text(page: str, wrapper: dict) -> str:
             blocks.append(text)
         held.clear()
 
-    def walk(node: Node, at: str):
+    def walk(node: Node, at: str, by_marks: bool = True):
         if constant and (at, own_text(node)) in constant and not any(isinstance(c, Node) for c in node.children):
             return
         for c in node.children:
@@ -188,17 +202,21 @@ def main_text(page: str, wrapper: dict) -> str:
                 held.append(c)
             elif c.tag == "br":
                 held.append(" ")
-            elif not skipped(c, True):
+            elif not skipped(c, True, by_marks):
                 block = c.tag in BLOCK
                 if block:
                     end()
-                walk(c, f"{at}/{c.label}" if at else c.label)
+                walk(c, f"{at}/{c.label}" if at else c.label, by_marks)
                 if block:
                     end()
 
-    for region in regions(parse(page), wrapper["region"]):
-        walk(region, "")
-        end()
+    found = regions(parse(page), wrapper["region"])
+    for by_marks in (True, False):  # a page whose whole text is under such marks keeps it
+        for region in found:
+            walk(region, "", by_marks)
+            end()
+        if blocks:
+            break
     return "\n".join(blocks)
 
 

@@ -106,3 +106,12 @@ def test_without_broadcasts(spark, monkeypatch):
     want = sorted(map(tuple, extract_main_text(df).collect()))
     monkeypatch.setattr(wrapper, "BROADCAST_BYTES", -1)
     assert sorted(map(tuple, extract_main_text(df).collect())) == want and want[0][2] == "text 0 é"
+
+
+def test_marks_that_only_tell_of_a_part():
+    for mark in ("layout has-sidebar", "content-with-sidebar", "no-sidebar", "post share-enabled"):
+        assert main_text(f'<div class="{mark}"><p>Text.</p></div><p>more</p><div class="sidebar">no</div>', EMPTY) == "Text.\nmore"
+    assert main_text('<div id="search-results"><article><p>Text.</p></article></div><p>other</p>', EMPTY) == "Text."
+    assert main_text('<div id="search-results"><p>Text.</p><nav>no</nav></div>', EMPTY) == "Text."
+    assert main_text('<p>yes</p><div id="comments"><article class="comment-body">no</article></div>', EMPTY) == "yes"
+    assert main_text('<p>yes</p><div class="left-sidebar">no</div><div class="ad-box">no</div>', EMPTY) == "yes"
