@@ -17,6 +17,7 @@ from collections import Counter
 from functools import lru_cache
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -142,7 +143,8 @@ def induce(pages: list[str]) -> dict:
     while True:
         whole = mass(t)
         inner = max((c for c in t.children if c.tag in BLOCK and c.tag not in PROSE and not c.skip), key=mass, default=None)
-        if inner is None or not whole or mass(inner) < 0.9 * whole or sum(c.label == inner.label for c in t.children) > 1:
+        # where anything varies beside the child, be it a title, the region is the node that holds both
+        if inner is None or not whole or mass(inner) < whole or sum(c.label == inner.label for c in t.children) > 1:
             break
         path.append(inner.label)
         t = inner
@@ -160,17 +162,58 @@ def induce(pages: list[str]) -> dict:
 
     if mass(t):
         labels(t, [], False)
-    return {"region": path, "constant": constant}
+    beside: set[str] = set()
 
+    def known(x: Aligned) -> None:
+        if not x.skip:
+            beside.update(map(told, x.texts))
+            for c in x.children:
+                known(c)
 
-def regions(tree: Node, path: list[str]) -> list[Node]:
+    t = root
+    for label in path:
+        beside.update(map(told, t.texts))
+        for c in t.children:
+            if c.label != label:
+                known(c)
+        t = next(c for c in t.children if c.label == label)
+    return {"region": path, "constant": constant, "beside": sorted(beside)}
+
+
+def told(text: str) -> str:
+    return xxhash.xxh64_hexdigest(text.encode("utf-8", "replace"))
+
+
+def along(tree: Node, path: list[str], beside: set[str]) -> list[Node]:
+    """The nodes at this path and, in their order, parts beside it with any text that the aligned pages don't have there; nothing if the path is absent."""
+    reached = False
+
+    def new(node: Node) -> bool:
+        text = own_text(node) if node.tag != "a" else ""
+        return bool(text) and told(text) not in beside or any(new(c) for c in node.children if isinstance(c, Node) and not skipped(c, True))
+
+    def walk(node: Node, k: int) -> list[Node]:
+        nonlocal reached
+        if k == len(path):
+            reached = True
+            return [node]
+        inner = [c for c in node.children if isinstance(c, Node)]
+        out = [x for c in inner for x in (walk(c, k + 1) if c.label == path[k] else [c] if not skipped(c, False) and new(c) else [])]
+        text = own_text(node)
+        return [node] if text and told(text) not in beside else out
+
+    found = walk(tree, 0)
+    return found if reached else []
+
+
+def regions(tree: Node, path: list[str], beside: list[str] | None = None) -> list[Node]:
     """The nodes at this path; without any, the page's articles, else its main part, else such parts inside nodes that their marks would skip (unless the
     part itself has such a mark, as a comment), else all of the page."""
     found = [tree]
     for label in path:
         found = [c for x in found for c in x.children if isinstance(c, Node) and c.label == label]
     if found and path and found[0].tag not in ("html", "body"):
-        return found
+        return found if beside is None else along(tree, path, set(beside))
 
     def seek(node: Node, tag: str, by_marks: bool = True) -> list[Node]:
         out = []
@@ -210,7 +253,7 @@ def main_text(page: str, wrapper: dict) -> str:
                 if block:
                     end()
 
-    found = regions(parse(page), wrapper["region"])
+    found = regions(parse(page), wrapper["region"], wrapper.get("beside"))
     for by_marks in (True, False):  # a page whose whole text is under such marks keeps it
         for region in found:
             walk(region, "", by_marks)
@@ -285,14 +328,14 @@ def meet(rows: DataFrame, made: DataFrame, how: str) -> DataFrame:
 
 def confirm(rows: DataFrame, made: DataFrame, share: float = CONSTANT_SHARE) -> DataFrame:
     """The wrappers with those constant labels only that a share of all the host's pages has; rows are (host, html)."""
-    shape = F.from_json("wrapper", "region array<string>, constant array<array<string>>")
+    shape = F.from_json("wrapper", "region array<string>, constant array<array<string>>, beside array<string>")
     unsure = cut(made.filter(F.size(shape["constant"]) > 0))
     n = meet(rows, unsure, "inner").select("host", "html", "wrapper").mapInArrow(_count, "host string, at string, label string, n long").groupBy("host", "at", "label").agg(F.sum("n").alias("n"))
     n = cut(n)
     pages = n.filter("at is null").select("host", F.col("n").alias("pages"))
     sure = n.filter("at is not null").join(pages, "host").filter(F.col("n") >= share * F.col("pages")).groupBy("host").agg(F.array_sort(F.collect_list(F.array("at", "label"))).alias("sure"))
-    told = F.to_json(F.struct(shape["region"].alias("region"), F.coalesce("sure", F.array().cast("array<array<string>>")).alias("constant")))
-    return made.join(sure, "host", "left").select("host", told.alias("wrapper"))
+    wrapper = F.struct(shape["region"].alias("region"), F.coalesce("sure", F.array().cast("array<array<string>>")).alias("constant"), shape["beside"].alias("beside"))
+    return made.join(sure, "host", "left").select("host", F.to_json(wrapper).alias("wrapper"))
 
 
 def wrappers(df: DataFrame, url_col: str = "url", html_col: str = "html", slots: int = SLOTS) -> DataFrame:

@@ -115,3 +115,19 @@ def test_marks_that_only_tell_of_a_part():
     assert main_text('<div id="search-results"><p>Text.</p><nav>no</nav></div>', EMPTY) == "Text."
     assert main_text('<p>yes</p><div id="comments"><article class="comment-body">no</article></div>', EMPTY) == "yes"
     assert main_text('<p>yes</p><div class="left-sidebar">no</div><div class="ad-box">no</div>', EMPTY) == "yes"
+
+
+def test_titles_beside_the_main_block_stay():
+    for outer, inner in (("<div id=content>", "<div class=body>"), ("<main>", "<article>")):
+        pages = [page(k, f"{outer}<h1>Title {k}</h1>{inner}<p>{f'word{k} ' * 200}</p></{inner[1:].split()[0].strip('>')}></{outer[1:].split()[0].strip('>')}>") for k in range(1, 9)]
+        assert main_text(pages[3], induce(pages)).startswith("Title 4\nword4 word4")
+
+
+def test_text_beside_the_path_of_the_sample_stays():
+    def body(k, more=""):
+        return f'<div class="col"><div class="story"><p>Story {k} {"and more " * k}.</p></div>{more}<p class="note">Same note.</p></div>'
+
+    w = induce([page(k, body(k)) for k in range(1, 9)])
+    assert w["region"] == ["html", "body", "div.col", "div.story"]
+    assert main_text(page(2, body(2)), w) == "Story 2 and more and more ."
+    assert main_text(page(9, body(1, '<div class="extra"><p>A long report.</p></div>')), w) == "Story 1 and more .\nA long report."
