@@ -1,6 +1,6 @@
 """Main text of web pages by wrapper induction over the pages of a host.
 
-A few pages of each host (at most SLOTS, one for each residue of a hash) are parsed and aligned by simple tree matching. Nodes of the aligned tree that
+A few pages of each host (at most SLOTS, those with the smallest hashes) are parsed and aligned by simple tree matching. Nodes of the aligned tree that
 have the same text on all pages are template; those that vary are slots. The wrapper of the host is the path
 to the region that holds the varying prose, the paths of regions that hold none of it (menus, adverts, forms, comments, by their tags and marks), and short
 constant labels inside the region. The labels are candidates only: all pages of the host are counted, and a label that a share of them (CONSTANT_SHARE) has at
@@ -18,7 +18,7 @@ from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -123,8 +123,9 @@ def size(node: Node) -> int:
     return 1 + sum(size(c) for c in node.children if isinstance(c, Node))
 
 
-def induce(pages: list[str]) -> dict:
-    """The wrapper of these pages: the region's path ([] if none stands out), and constant labels inside it."""
+def induce(pages: list[str], least: int = 4) -> dict:
+    """The wrapper of these pages: the region's path ([] if none stands out), constant labels inside it (proposed by so many pages at least), and hashes of
+    the texts beside the path."""
     trees = [t for p in dict.fromkeys(pages) if size(t := parse(p)) <= MAX_NODES]
     if not trees:
         return {"region": [], "constant": []}
@@ -154,7 +155,7 @@ def induce(pages: list[str]) -> dict:
 
     def labels(x: Aligned, at: list[str], prose: bool) -> None:
         text = next(iter(x.texts))
-        if len(trees) >= 4 and x.pages == len(trees) and len(x.texts) == 1 and text and not prose and len(text.split()) <= 8 and text[-1] not in ".!?…\"'»”":
+        if len(trees) >= least and x.pages == len(trees) and len(x.texts) == 1 and text and not prose and len(text.split()) <= 8 and text[-1] not in ".!?…\"'»”":
             constant.append(["/".join(at), text])
         for c in x.children:
             if not c.skip:
@@ -288,9 +289,13 @@ def _wrapper(told: str) -> dict:
 EMPTY = json.dumps({"region": [], "constant": []})
 
 
-def _induce(t: pa.Table) -> pa.Table:
-    pages = [x for x in t.column("html").to_pylist() if x]
-    return pa.table({"host": t.column("host")[:1].cast(pa.string()), "wrapper": [json.dumps(induce(pages))]})
+def _induce(slots: int):
+    def run(t: pa.Table) -> pa.Table:
+        pages = [x for x in t.column("html").to_pylist() if x]
+        # fewer than the slots are all the pages of the host
+        return pa.table({"host": t.column("host")[:1].cast(pa.string()), "wrapper": [json.dumps(induce(pages, 2 if t.num_rows < slots else 4))]})
+
+    return run
 
 
 def _count(batches):
@@ -339,18 +344,19 @@ def confirm(rows: DataFrame, made: DataFrame, share: float = CONSTANT_SHARE) ->
 
 
 def wrappers(df: DataFrame, url_col: str = "url", html_col: str = "html", slots: int = SLOTS) -> DataFrame:
-    """(host, wrapper): one row per host. The sample that is aligned is the page with the smallest hash in each residue of the hash, so it is aggregated
-    before it is shuffled, and a host with very many pages is like any other."""
+    """(host, wrapper): one row per host. The sample that is aligned has the smallest distinct hashes, all of them if the host has no more. Each task ranks its
+    hashes before they are shuffled, so a host with very many pages is like any other."""
     rows = df.select(host_of(quoted(url_col).cast("string")).alias("host"), quoted(html_col).cast("string").alias("html")).filter("html is not null")
     rows = rows.withColumn("h", F.xxhash64("html"))
     # the hash alone is aggregated; the pages that have it are few, and only they are shuffled as long as the hashes of all hosts are small
-    chosen = cut(rows.groupBy("host", F.pmod("h", F.lit(slots)).alias("slot")).agg(F.min("h").alias("h")).select("host", "h"))
+    rank = F.row_number().over(Window.partitionBy("host").orderBy("h"))
+    chosen = cut(rows.select("host", "h").distinct().withColumn("rank", rank).filter(F.col("rank") <= slots).select("host", "h"))
     held = chosen.agg(F.sum(F.octet_length("host") + 8)).first()[0] or 0
     if held <= BROADCAST_BYTES:
         pages = rows.join(F.broadcast(chosen), ["host", "h"], "left_semi").groupBy("host", "h").agg(F.first("html").alias("html"))
     else:  # copies of a page are one before the join, so no page that many share is a task of its own
         pages = rows.groupBy("host", "h").agg(F.first("html").alias("html")).join(chosen, ["host", "h"], "left_semi")
-    return confirm(rows.select("host", "html"), cut(pages.groupBy("host").applyInArrow(_induce, "host string, wrapper string")))
+    return confirm(rows.select("host", "html"), cut(pages.groupBy("host").applyInArrow(_induce(slots), "host string, wrapper string")))
 
 
 def extract_main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", slots: int = SLOTS) -> DataFrame:

@@ -131,3 +131,10 @@ def test_text_beside_the_path_of_the_sample_stays():
     assert w["region"] == ["html", "body", "div.col", "div.story"]
     assert main_text(page(2, body(2)), w) == "Story 2 and more and more ."
     assert main_text(page(9, body(1, '<div class="extra"><p>A long report.</p></div>')), w) == "Story 1 and more .\nA long report."
+
+
+def test_small_hosts_lose_their_labels(spark):
+    """Hosts of 2 to 7 pages are sampled in whole, whatever the hashes are."""
+    rows = [(100 * n + k, f"https://h{n}.example/", page(k, f"<article><p>Words {n} of page {k}.</p><span>Print version</span></article>")) for n in range(2, 8) for k in range(n)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(2)
+    assert {r.page_id: r.text for r in extract_main_text(df).collect()} == {i: f"Words {i // 100} of page {i % 100}." for i, _, _ in rows}
