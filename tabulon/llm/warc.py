@@ -19,12 +19,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import binary, fresh, quoted, small_batches
+from .common import binary, cut, quoted, small_batches
 
 MAGIC = b"\x1f\x8b\x08"
 MAX_FILE = 256 << 20
 SPLIT = 8 << 20
 CHUNK = 1 << 20
+BROADCAST_BYTES = 32 << 20  # of repeated digests, at 64 a digest
+HEAVY = 256
+MANIFEST, FILES = "_manifest", "path string, bytes long, records long"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD_SCHEMA = T.StructType([T.StructField(n, t) for n, t in (("path", T.StringType()), ("offset", T.LongType()), ("warc_type", T.StringType()), ("record_id", T.StringType()), ("target_uri", T.StringType()), ("payload_bytes", T.LongType()), ("payload_digest", T.StringType()), ("refers_to", T.StringType()), ("payload", T.BinaryType()))])
 
@@ -56,74 +59,93 @@ def record(key, uri: str | None, payload: bytes, digest: str, refers_to=None, re
 
 
 def _write(folder: str, max_file: int):
+    """Writes what a task gets; a row (path, bytes, records) per file. Names hold the attempt's number, so attempts never touch each other's files."""
+
     def run(batches):
         fs, root = pafs.FileSystem.from_uri(folder)
+        scheme = folder[: folder.index(root)] if root in folder else ""
         ctx = TaskContext.get()
         part, attempt = ctx.partitionId(), ctx.taskAttemptId()
-        out, size, count, files = None, 0, 0, []
-
-        def close():
-            nonlocal out
-            if out is not None:
-                out.close()
-                temporary, final = files[-1]
-                # an attempt that is run again writes the same bytes
-                if fs.get_file_info(final).type != pafs.FileType.NotFound:
-                    fs.delete_file(final)
-                fs.move(temporary, final)
-                out = None
+        out, files = None, []
 
         for b in small_batches(batches):
-            keys, uris, firsts = (b.column(k).to_pylist() for k in (0, 1, 3))
-            for key, uri, payload, first in zip(keys, uris, binary(b, 2), firsts, strict=True):
-                if out is None or size >= max_file:
-                    close()
-                    files.append((f"{root}/_{part:06d}-{len(files):04d}-{attempt}", f"{root}/part-{part:06d}-{len(files):04d}.warc.gz"))
-                    out, size = fs.open_output_stream(files[-1][0]), 0
-                revisit = first is not None and first != key
-                data = record(key, uri, payload, base32_sha1(payload), first, revisit)
+            keys, uris, digests, firsts = (b.column(k).to_pylist() for k in (0, 1, 3, 4))
+            for key, uri, payload, digest, first in zip(keys, uris, binary(b, 2), digests, firsts, strict=True):
+                if out is None or files[-1][1] >= max_file:
+                    if out is not None:
+                        out.close()
+                    files.append([f"{root}/part-{part:06d}-{len(files):04d}-{attempt}.warc.gz", 0, 0])
+                    out = fs.open_output_stream(files[-1][0], compression=None)
+                data = record(key, uri, payload, base64.b32encode(digest).decode(), first, first is not None)
                 out.write(data)
-                size += len(data)
-                count += 1
-        close()
-        yield pa.RecordBatch.from_arrays([pa.array([count], pa.int64())], ["records"])
+                files[-1][1] += len(data)
+                files[-1][2] += 1
+        if out is not None:
+            out.close()
+            paths, sizes, counts = zip(*files, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array([scheme + x for x in paths]), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())], ["path", "bytes", "records"])
 
     return run
 
 
-def write_archives(df: DataFrame, folder: str, key_col: str = "page_id", uri_col: str = "url", payload_col: str = "html", min_bytes: int = 0, max_file: int = MAX_FILE) -> int:
+def _referred(rows: DataFrame, firsts: DataFrame, max_broadcast: int) -> DataFrame:
+    """rows with the first key of their payload (null where that is their own, or none is). firsts: (digest, first, n) of payloads that come twice or more.
+
+    While firsts is small it goes to all tasks, and no payload is shuffled. Beyond, so do the digests that hold over a HEAVY-th of all repeated rows, which are
+    fewer than HEAVY whatever the table; the other rows meet their first by digest, so that no task gets more than such a part of them.
+    """
+    told, total = firsts.agg(F.count("*"), F.sum("n")).first()
+    own = F.col("first").eqNullSafe(F.col("key"))
+    if not told:
+        return rows.withColumn("first", F.lit(None).cast(rows.schema["key"].dataType))
+    if told * 64 <= max_broadcast:
+        found = rows.join(F.broadcast(firsts.drop("n")), "digest", "left")
+    else:
+        heavy = firsts.filter(F.col("n") * HEAVY > total).drop("n")
+        often = rows.join(F.broadcast(heavy), "digest", "left")
+        rest = firsts.filter(F.col("n") * HEAVY <= total).drop("n")
+        found = often.filter("first is not null").unionByName(often.filter("first is null").drop("first").join(rest, "digest", "left"))
+    return found.withColumn("first", F.when(~own, F.col("first")))
+
+
+def write_archives(df: DataFrame, folder: str, key_col: str = "page_id", uri_col: str = "url", payload_col: str = "html", min_bytes: int = 0, max_file: int = MAX_FILE, max_broadcast: int = BROADCAST_BYTES) -> int:
     """A record per row of df, in folder (a URI of a shared file system); the number of records.
 
     Of equal payloads (UTF-8; null is empty) of at least min_bytes, the smallest key is written as response, the
     others as revisit of it; all others are responses. Rows that repeat the smallest key are responses too. A null key: its record
-    has no number; it is a revisit if a key is there to refer to. A null uri is empty. Nothing is written for an empty table.
+    has no number; it is a revisit if a key is there to refer to. A null uri is empty. Nothing is written for an empty table. Extra columns are ignored.
+
+    Digests and smallest keys are aggregated without the payloads. MANIFEST, a Parquet table in the folder, names the files of those task attempts that
+    Spark committed; files that lost attempts leave behind aren't in it, and the reader passes them over.
     """
+    spark = df.sparkSession
     fs, root = pafs.FileSystem.from_uri(folder)
     fs.create_dir(root, recursive=True)
     rows = df.select(quoted(key_col).alias("key"), quoted(uri_col).cast("string").alias("uri"), F.coalesce(quoted(payload_col).cast("string"), F.lit("")).alias("payload"))
     rows = rows.withColumn("digest", F.unhex(F.sha1(F.col("payload").cast("binary"))))
-    firsts = rows.filter(F.octet_length("payload") >= min_bytes).groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
-    marked = rows.join(firsts, "digest", "left").select("key", "uri", "payload", F.when(~F.col("first").eqNullSafe(F.col("key")), F.col("first").cast("string")).alias("first"))
-    marked = marked.withColumn("key", F.col("key").cast("string"))
-    return marked.mapInArrow(_write(folder, max_file), "records long").agg(F.sum("records")).first()[0] or 0
+    firsts = cut(rows.filter(F.octet_length("payload") >= min_bytes).groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null"))
+    marked = _referred(rows, firsts, max_broadcast).select(F.col("key").cast("string"), "uri", "payload", "digest", F.col("first").cast("string"))
+    marked.mapInArrow(_write(folder, max_file), FILES).write.mode("overwrite").parquet(f"{folder}/{MANIFEST}")
+    return spark.read.schema(FILES).parquet(f"{folder}/{MANIFEST}").agg(F.sum("records")).first()[0] or 0
 
 
 class _Window:
     """A file read on from some offset, with what is still needed held."""
 
     def __init__(self, file, at: int):
-        self.file, self.base, self.data, self.over = file, at, b"", False
+        self.file, self.base, self.data = file, at, bytearray()
         file.seek(at)
 
     def more(self) -> bool:
         got = self.file.read(CHUNK)
-        self.over = not got
         self.data += got
-        return not self.over
+        return bool(got)
 
     def drop(self, upto: int) -> None:
-        self.data = self.data[upto - self.base :]
-        self.base = upto
+        """Forgets what lies before, a chunk or more at a time."""
+        if upto - self.base >= CHUNK:
+            del self.data[: upto - self.base]
+            self.base = upto
 
 
 def _member(w: _Window, at: int) -> tuple[bytes, int] | None:
@@ -219,12 +241,20 @@ def _batch(rows):
 
 
 def read_archives(spark: SparkSession, folder: str, split_bytes: int = SPLIT, with_payload: bool = True) -> DataFrame:
-    """A row per record of the *.warc.gz files in folder: RECORD_SCHEMA. payload is null for revisits (and without with_payload);
+    """A row per record of the archives in folder: RECORD_SCHEMA. payload is null for revisits (and without with_payload);
     payload_bytes and payload_digest are those of the full payload. Each response's payload is held against its digest.
-    Bytes that are no record are passed over; an empty folder gives no rows."""
+    A folder with a manifest: the files that it names; without one: all *.warc.gz in it, in the order of their names.
+    Bytes that are no record are passed over; a folder that is empty or absent gives no rows."""
     fs, root = pafs.FileSystem.from_uri(folder)
-    scheme = folder[: folder.index(root)] if root in folder else ""
-    files = [f for f in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)) if f.base_name.endswith(".warc.gz")]
-    ranges = [(scheme + f.path, at, min(at + split_bytes, f.size)) for f in files for at in range(0, f.size, split_bytes)]
-    splits = spark.createDataFrame(ranges, "path string, start long, end long").repartition(max(1, len(ranges)))
-    return splits.mapInArrow(_read(with_payload), RECORD_SCHEMA)
+    if fs.get_file_info(f"{root}/{MANIFEST}").type == pafs.FileType.Directory:
+        files = spark.read.schema(FILES).parquet(f"{folder}/{MANIFEST}").select("path", "bytes")
+    else:
+        scheme = folder[: folder.index(root)] if root in folder else ""
+        found = [f for f in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)) if f.base_name.endswith(".warc.gz")]
+        files = spark.createDataFrame([(scheme + f.path, f.size) for f in found], "path string, bytes long")
+    files = files.filter("bytes > 0")
+    whole = files.agg(F.sum("bytes")).first()[0] or 0
+    start = F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long"))).alias("start")
+    splits = files.select("path", "bytes", start).select("path", "start", F.least(F.col("start") + split_bytes, F.col("bytes")).alias("end"))
+    # small files share tasks
+    return splits.repartition(max(1, -(-whole // split_bytes))).mapInArrow(_read(with_payload), RECORD_SCHEMA)

@@ -40,10 +40,23 @@ def test_round_trip(spark, tmp_path, split, least):
     assert {r.record_id: bytes(r.payload).decode() for r in got.filter("warc_type = 'response' and record_id is not null").collect()}["99"] == "z" * 3_000_000
     assert got.filter("record_id = '5'").first().target_uri in ("http://h/5%20x%0D%0A",)
     files = [f for f in os.listdir(tmp_path / "w") if f.endswith(".gz")]
-    assert len(files) > 3 and not [f for f in os.listdir(tmp_path / "w") if f.startswith("_")]
+    named = spark.read.parquet(f"{folder}/_manifest").collect()
+    assert len(files) > 3 and sorted(os.path.basename(r.path) for r in named) == sorted(files)
+    assert all(os.path.getsize(r.path.removeprefix("file://")) == r.bytes for r in named) and sum(r.records for r in named) == len(rows)
     assert gzip.open(tmp_path / "w" / files[0]).read(8) == b"WARC/1.1"
 
 
+def test_without_broadcast_and_with_leftovers(spark, tmp_path):
+    rows = [(k, "u", "<p>hot</p>" if k % 3 else f"<p>{k // 2 % 200}</p>") for k in range(900)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    folder = f"file://{tmp_path}/w"
+    assert write_archives(df, folder, max_broadcast=0) == len(rows)
+    # what an attempt that was lost has left
+    (tmp_path / "w" / "part-000000-0000-999.warc.gz").write_bytes(record(7, "u", b"half", base32_sha1(b"half"))[:30])
+    got = read_archives(spark, folder, with_payload=False)
+    assert sorted((tuple(r) for r in got.select("record_id", "payload_bytes", "payload_digest", "warc_type", "refers_to").collect()), key=repr) == expected(rows)
+
+
 @pytest.mark.parametrize("size", [1, 7, 100, 1000, 10**6])
 def test_every_record_has_one_owner(size):
     rng = random.Random(size)
