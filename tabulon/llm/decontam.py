@@ -2,7 +2,7 @@
 
 The benchmark's windows are a query set: they go to all tasks in blocks of a bounded number of words, and each block
 is one pass over the documents. A task indexes its rows a shard at a time, so its memory is bounded, and no document
-is shuffled while one block is enough. Words that no item has are separators of the index, and runs of words shorter than the
+is shuffled: with several blocks, rows are numbered, and what a block finds meets its row by that number. Words that no item has are separators of the index, and runs of words shorter than the
 shortest window can't hold one, so neither takes room in the index.
 """
 
@@ -21,7 +21,7 @@ from .fm_index import FmIndex
 
 WINDOW = 10
 SHARD_WORDS = 1 << 21
-BLOCK_WORDS = 1 << 22
+BLOCK_WORDS = 1 << 19  # about 200 MB on the driver while a block is made, 100 MB in a task
 #: All but word bytes to a blank, A-Z to lower case; bytes from 0x80 are parts of word characters.
 WORDS = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -145,7 +145,7 @@ def _search(text_at: int, sent, pass_on: bool, with_clean: bool, names: list[str
                 cols = [
                     pa.array([len(r) for r in rows], pa.int64()),
                     pa.array([sum(y - x for x, y in s) for s, _ in mine], pa.int64()),
-                    pa.array([items for _, items in mine], pa.list_(item_type)),
+                    pa.array([list(dict.fromkeys(items)) for _, items in mine], pa.list_(item_type)),
                     pa.array([[{"start": x, "end": y} for x, y in s] for s, _ in mine], pa.list_(struct)),
                 ]
                 if with_clean:
@@ -188,9 +188,9 @@ def find_benchmark(
 
     A window is window consecutive words of an item, or the whole of a shorter one; words are runs of ASCII letters and
     digits and all characters beyond ASCII, with A-Z lower-cased. Null or empty text has no words; an item without
-    words is never found. A null item id is returned as a null in items. Ids may be null or repeated in df (with
-    several blocks, rows that repeat an id with equal texts are joined into one). An empty table gives an empty one; an
-    empty benchmark gives no hits. Extra columns are ignored.
+    words is never found. A null item id is returned as a null in items; items that repeat an id count as one. Ids may be null or repeated in df,
+    each row gets a row. An empty table gives an empty one; an empty benchmark gives no hits. Extra columns are ignored. Rows don't depend on block_words; the
+    items of a row come in the order of the benchmark's blocks.
     """
     names, spark = [id_col], df.sparkSession
     for n in ("n_words", "n_hit", "items", "spans"):
@@ -200,18 +200,26 @@ def find_benchmark(
     schema = T.StructType([T.StructField(n, t) for n, t in zip(names, (df.schema[id_col].dataType, T.LongType(), T.LongType(), T.ArrayType(item_type), span), strict=True)])
     from pyspark.sql.pandas.types import to_arrow_type
 
-    parts = []
-    for block in item_blocks(benchmark, item_col, item_text_col, block_words):
+    slim = df.select(quoted(id_col).alias("id"), quoted(text_col).cast("string").alias("text"))
+
+    def search(rows: DataFrame, block: list, names: list[str], schema: T.StructType) -> DataFrame:
         sent = spark.sparkContext.broadcast(Windows(block, window))
-        slim = df.select(quoted(id_col).alias("id"), quoted(text_col).cast("string").alias("text"))
-        parts.append(slim.mapInArrow(_search(1, sent, False, False, names, to_arrow_type(item_type)), schema))
-    if len(parts) == 1:
-        return parts[0]
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p)
-    ident, words, hit, items, spans = map(quoted, names)
-    by = whole.groupBy(ident).agg(F.max(words).alias(names[1]), F.array_distinct(F.flatten(F.collect_list(items))).alias(names[3]), F.array_sort(F.flatten(F.collect_list(spans))).alias(names[4]))
+        return rows.mapInArrow(_search(1, sent, False, False, names, to_arrow_type(item_type)), schema)
+
+    blocks = item_blocks(benchmark, item_col, item_text_col, block_words)
+    block, following = next(blocks), next(blocks, None)
+    if following is None:
+        return search(slim, block, names, schema)
+    # the numbers are written once, so they stay what they are
+    rows = cut(slim.select(F.monotonically_increasing_id().alias("row"), "text", "id"))
+    plain = ["row", "n_words", "n_hit", "items", "spans"]
+    numbered = T.StructType([T.StructField(n, f.dataType) for n, f in zip(plain, (T.StructField("row", T.LongType()), *schema.fields[1:]), strict=True)])
+    first = search(rows, block, plain, numbered)
+    found = first.filter("n_hit > 0").select("row", "items", "spans")
+    while following is not None:
+        found = found.unionByName(search(rows, following, plain, numbered).filter("n_hit > 0").select("row", "items", "spans"))
+        following = next(blocks, None)
+    found = found.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
 
     def join(acc, x):
         last = F.element_at(acc, -1)
@@ -219,14 +227,19 @@ def find_benchmark(
             F.concat(acc, F.array(x))
         )
 
-    by = by.withColumn(names[4], F.aggregate(spans, F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)"), join))
-    return by.select(ident, words, F.aggregate(spans, F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"]).alias(names[2]), items, spans)
+    none = F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")
+    found = found.withColumn("spans", F.aggregate("spans", none, join)).withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"]))
+    whole = rows.select("row", "id").join(first.select("row", "n_words"), "row").join(found, "row", "left")
+    filled = (F.col("id"), F.col("n_words"), F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("items", F.array().cast(T.ArrayType(item_type))), F.coalesce("spans", none))
+    return whole.select(*(c.alias(n) for c, n in zip(filled, names, strict=True)))
 
 
 def remove_benchmark(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """df with every occurrence of a window cut out of text_col; rows without any are returned as they are (null too).
+    """df with every occurrence of a window cut out of text_col; rows without any are returned as they are.
 
-    The blocks of a large benchmark are applied one after the other, and again until the number of hits is zero.
+    Null and empty texts, null and repeated ids and all other columns, whatever their names, pass unchanged; equal rows are treated alike. A text that is one
+    window becomes empty. What is left is joined by a blank, and windows that come about there go too. An empty table, or an empty benchmark, changes nothing.
+    The blocks of a large benchmark are applied one after the other, each over the written result of the one before, and again until the number of hits is zero.
     """
     spark, cols = df.sparkSession, df.columns
     names = list(cols)
@@ -235,17 +248,20 @@ def remove_benchmark(df: DataFrame, benchmark: DataFrame, text_col: str = "text"
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     types = (T.LongType(), T.LongType(), T.ArrayType(T.LongType()), span, T.StringType())
     schema = T.StructType([*df.schema.fields, *(T.StructField(n, t) for n, t in zip(names[len(cols) :], types, strict=True))])
-    blocks = list(item_blocks(benchmark, item_col, item_text_col, block_words))
     # items are numbered here: their ids don't matter for the cut
-    sents = [spark.sparkContext.broadcast(Windows([(k, t) for k, (_, t) in enumerate(b)], window)) for b in blocks]
+    sents = [spark.sparkContext.broadcast(Windows([(k, t) for k, (_, t) in enumerate(b)], window)) for b in item_blocks(benchmark, item_col, item_text_col, block_words)]
     at = cols.index(text_col)
+
+    def search(rows: DataFrame, sent) -> DataFrame:
+        return rows.mapInArrow(_search(at, sent, True, True, names, pa.int64()), schema)
+
     while True:
+        hits = 0
         for sent in sents:
-            found = df.mapInArrow(_search(at, sent, True, True, names, pa.int64()), schema)
+            found = search(df, sent)
+            if len(sents) > 1:
+                found = cut(found)
+                hits += found.agg(F.sum(quoted(names[len(cols) + 1]))).first()[0] or 0
             df = found.select(*(quoted(names[-1]).alias(c) if c == text_col else found[f"`{c}`"] for c in cols))
-        if len(sents) == 1:
-            return df
-        df = cut(df)
-        counts = [df.mapInArrow(_search(at, sent, True, False, names[:-1], pa.int64()), T.StructType(schema.fields[:-1])).agg(F.sum(quoted(names[len(cols) + 1]))).first()[0] or 0 for sent in sents]
-        if not any(counts):
+        if not hits:
             return df
