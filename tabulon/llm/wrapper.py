@@ -2,11 +2,12 @@
 
 A few pages of each host (at most SLOTS, those with the smallest hashes) are parsed and aligned by simple tree matching. Nodes of the aligned tree that
 have the same text on all pages are template; those that vary are slots. The wrapper of the host is the path
-to the region that holds the varying prose, the paths of regions that hold none of it (menus, adverts, forms, comments, by their tags and marks), and short
-constant labels inside the region. The labels are candidates only: all pages of the host are counted, and a label that a share of them (CONSTANT_SHARE) has at
+to the region that holds the varying prose, the nodes that their marks would skip but that hold varying prose (they are opened), and the constant
+subtrees inside the region. Those are candidates only: all pages of the host are counted, and a subtree that a share of them (CONSTANT_SHARE) has at
 its place is template. The wrapper is applied to every page of the host, in whole.
 
-Constant prose inside the region stays: pages of one host may be copies, or quote the same passage, and that is content.
+Adverts, comments, related links and the like vary too, so what has such a mark stays out as long as there is prose elsewhere.
+Constant prose stays where the aligned pages are near copies of each other (less than half of their region's text varies) or fewer than three.
 """
 
 from __future__ import annotations
@@ -26,33 +27,47 @@ from .common import binary, cut, fresh, quoted, small_batches
 from .dom import BLOCK, RAW, Node, parse
 
 SLOTS = 8
-MAX_NODES = 4000  # of a sample page's tree that are aligned; a larger page is no sample
+WIDE = 1 << 16  # pairs of children; wider lists are aligned in one pass in their order
 CONSTANT_SHARE = 0.9  # of all pages of the host
 BROADCAST_BYTES = 32 << 20
 SKIPPED_TAGS = RAW | frozenset("head nav footer aside form button select datalist menu dialog canvas audio video picture map".split())
-SKIPPED_MARKS = frozenset(
-    "ad ads adbox advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies footer menu modal nav navbar navigation newsletter notice notices pagination popup promo promotion related search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets reactions replies disqus masthead topbar contentinfo complementary".split()
+#: Names of parts that vary from page to page and are no article.
+OTHER_MARKS = frozenset(
+    "ad ads adbox advert adverts advertisement advertising comment comments complementary contentinfo disqus footer promo promotion reactions related replies sidebar sponsor sponsored".split()
 )
+#: Names of parts that are the same on all pages, as a rule.
+LAYOUT_MARKS = frozenset(
+    "banner breadcrumb breadcrumbs consent cookie cookies masthead menu modal nav navbar navigation newsletter notice notices pagination popup search share sharing signup social subscribe toolbar topbar widget widgets".split()
+)
+SKIPPED_MARKS = OTHER_MARKS | LAYOUT_MARKS
+OPENED_WORDS, FEW_WORDS = 25, 15  # varying words a page that make a marked part prose; that are no article
 #: A name with one of these pieces tells of a part, or that there is none, and is no part itself.
 QUALIFIERS = frozenset("has have with without no not is enabled disabled".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li td th dd dt blockquote pre figcaption caption".split())
 
 
 @lru_cache(maxsize=1 << 14)
-def marked(marks: str) -> bool:
-    """Whether a whole name, or its first or last piece, is one of SKIPPED_MARKS, and no piece is a qualifier."""
+def marked(marks: str, among: frozenset = SKIPPED_MARKS) -> bool:
+    """Whether a whole name, or its first or last piece, is one of these marks, and no piece is a qualifier."""
     for name in marks.split():
         pieces = [x for x in re.split(r"[^a-z]+", name) if x]
-        if pieces and (pieces[0] in SKIPPED_MARKS or pieces[-1] in SKIPPED_MARKS) and QUALIFIERS.isdisjoint(pieces):
+        if pieces and (pieces[0] in among or pieces[-1] in among) and QUALIFIERS.isdisjoint(pieces):
             return True
     return False
 
 
-def skipped(node: Node, inside: bool, by_marks: bool = True) -> bool:
-    """Whether a node is no part of an article by its tag and marks. A header inside the article holds its title."""
-    if node.tag in SKIPPED_TAGS or node.tag == "header" and not inside:
-        return True
-    return by_marks and bool(node.marks) and node.tag not in ("html", "body", "main", "article") and marked(node.marks)
+def barred(node, inside: bool) -> bool:
+    """Whether a node is no part of an article by its tag. A header inside the article holds its title."""
+    return node.tag in SKIPPED_TAGS or node.tag == "header" and not inside
+
+
+def suspect(node) -> bool:
+    """Whether the node's marks tell of no article."""
+    return bool(node.marks) and node.tag not in ("html", "body", "main", "article") and marked(node.marks)
+
+
+def skipped(node: Node, inside: bool, by_marks: bool = True, opened: frozenset = frozenset()) -> bool:
+    return barred(node, inside) or by_marks and suspect(node) and node.label not in opened
 
 
 def own_text(node: Node) -> str:
@@ -60,14 +75,43 @@ def own_text(node: Node) -> str:
 
 
 class Aligned:
-    """A template node: its label, the distinct own texts seen at it, on how many pages, and its children."""
+    """A template node: its label, the hashes of the texts seen at it, on how many pages, and its children."""
 
     def __init__(self, node: Node, inside: bool = False):
-        self.label, self.tag, self.texts, self.pages = node.label, node.tag, {own_text(node)}, 1
-        self.skip = skipped(node, inside)
+        self.label, self.tag, self.marks, self.pages = node.label, node.tag, node.marks, 0
+        self.barred, self.suspect = barred(node, inside), suspect(node)
+        self.texts: set[str] = set()
+        self.length = self.words = 0
+        self.see(node)
         inside = inside or node.tag in ("article", "main")
-        self.children = [] if self.skip else [Aligned(c, inside) for c in node.children if isinstance(c, Node)]
-        self.length = len(own_text(node))
+        self.children = [] if self.barred else [Aligned(c, inside) for c in node.children if isinstance(c, Node)]
+
+    def see(self, node: Node) -> None:
+        self.first = text = own_text(node)
+        self.texts.add(told(text))
+        self.pages += 1
+        self.length += len(text)
+        self.words += len(text.split())
+
+
+def in_order(left: list, right: list):
+    """Pairs (i, j) of equal labels, each the next ones on both sides: one pass, for lists that are too wide for all pairs."""
+    places: dict[str, list[int]] = {}
+    for j, y in enumerate(right):
+        places.setdefault(y.label, []).append(j)
+    used = dict.fromkeys(places, 0)
+    at = 0
+    for i, x in enumerate(left):
+        mine = places.get(x.label, ())
+        k = used.get(x.label, 0)
+        while k < len(mine) and mine[k] < at:
+            k += 1
+        # a partner far behind would cost all between
+        if k < len(mine) and mine[k] - at <= max(8, len(left) - i):
+            yield i, mine[k]
+            at, k = mine[k] + 1, k + 1
+        if mine:
+            used[x.label] = k
 
 
 def match(a, b, memo: dict) -> int:
@@ -78,6 +122,9 @@ def match(a, b, memo: dict) -> int:
     if key in memo:
         return memo[key]
     right = [c for c in b.children if not isinstance(c, str)]
+    if len(a.children) * len(right) > WIDE:
+        memo[key] = 1 + sum(match(a.children[i], right[j], memo) for i, j in in_order(a.children, right))
+        return memo[key]
     row = [0] * (len(right) + 1)
     for x in a.children:
         new = [0]
@@ -88,62 +135,126 @@ def match(a, b, memo: dict) -> int:
     return memo[key]
 
 
-def align(t: Aligned, page: Node, memo: dict) -> None:
-    """Join a page's tree to the template: matched nodes gain its texts, others become nodes of their own in place."""
-    t.texts.add(own_text(page))
-    t.pages += 1
-    t.length += len(own_text(page))
-    if t.skip:
-        return
-    right = [c for c in page.children if isinstance(c, Node)]
-    n, m = len(t.children), len(right)
+def partners(left: list, right: list, memo: dict) -> list[tuple[int, int]]:
+    """The pairs of children in a largest matching, where a pair with the same text counts one more: so constant nodes meet among slots of the same label."""
+    n, m = len(left), len(right)
+    texts = [told(own_text(y)) for y in right]
+    if n * m > WIDE:
+        k = 0  # the same nodes at the end
+        while k < min(n, m) and left[n - 1 - k].label == right[m - 1 - k].label and texts[m - 1 - k] in left[n - 1 - k].texts:
+            k += 1
+        return [*in_order(left[: n - k], right[: m - k]), *((n - k + i, m - k + i) for i in range(k))]
+
+    def weight(i: int, j: int) -> int:
+        s = match(left[i], right[j], memo)
+        return s + (texts[j] in left[i].texts) if s else 0
+
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
-            s = match(t.children[i], right[j], memo)
+            s = weight(i, j)
             best[i][j] = max(best[i + 1][j], best[i][j + 1], best[i + 1][j + 1] + s if s else 0)
     out, i, j = [], 0, 0
-    inside = t.tag in ("article", "main")
-    while i < n or j < m:
-        s = match(t.children[i], right[j], memo) if i < n and j < m else 0
+    while i < n and j < m:
+        s = weight(i, j)
         if s and best[i][j] == best[i + 1][j + 1] + s:
-            align(t.children[i], right[j], memo)
-            out.append(t.children[i])
+            out.append((i, j))
             i, j = i + 1, j + 1
-        elif i < n and (j == m or best[i][j] == best[i + 1][j]):
-            out.append(t.children[i])
+        elif best[i][j] == best[i + 1][j]:
             i += 1
         else:
-            out.append(Aligned(right[j], inside))
             j += 1
+    return out
+
+
+def align(t: Aligned, page: Node, memo: dict) -> None:
+    """Join a page's tree to the template: matched nodes gain its texts, others become nodes of their own in place."""
+    t.see(page)
+    if t.barred:
+        return
+    right = [c for c in page.children if isinstance(c, Node)]
+    inside = t.tag in ("article", "main")
+    out, i, j = [], 0, 0
+    for a, b in [*partners(t.children, right, memo), (len(t.children), len(right))]:
+        out += t.children[i:a]
+        out += [Aligned(c, inside) for c in right[j:b]]
+        if a < len(t.children):
+            align(t.children[a], right[b], memo)
+            out.append(t.children[a])
+        i, j = a + 1, b + 1
     t.children = out
 
 
-def size(node: Node) -> int:
-    return 1 + sum(size(c) for c in node.children if isinstance(c, Node))
+def subtree(node, text: str, inner, opened: frozenset) -> str:
+    """A hash of all that stands in a node, skipped parts apart; empty for one without text."""
+    parts = [h for c in inner if not (c.tag in SKIPPED_TAGS or suspect(c) and c.label not in opened) and (h := subtree_of(c, opened))]
+    return told("\x1f".join([text, *parts])) if text or parts else ""
 
 
-def induce(pages: list[str], least: int = 4) -> dict:
-    """The wrapper of these pages: the region's path ([] if none stands out), constant labels inside it (proposed by so many pages at least), and hashes of
-    the texts beside the path."""
-    trees = [t for p in dict.fromkeys(pages) if size(t := parse(p)) <= MAX_NODES]
-    if not trees:
-        return {"region": [], "constant": []}
-    root = Aligned(trees[0])
-    for t in trees[1:]:
-        align(root, t, {})
+def subtree_of(node, opened: frozenset) -> str:
+    if isinstance(node, Aligned):
+        return subtree(node, node.first, node.children, opened)
+    return subtree(node, own_text(node), [c for c in node.children if isinstance(c, Node)], opened)
+
+
+def induce(pages: list[str]) -> dict:
+    """The wrapper of these pages: the region's path ([] if none stands out), the labels of nodes that are opened despite their marks, constant subtrees inside
+    the region (place, hash), and hashes of the texts beside the path."""
+    root, total = None, 0
+    for p in dict.fromkeys(pages):
+        tree = parse(p)
+        if root is None:
+            root = Aligned(tree)
+        else:
+            align(root, tree, {})
+        total += 1
+    if root is None:
+        return {"region": [], "opened": [], "constant": [], "beside": []}
+
+    def varies(t: Aligned) -> bool:
+        """Slots are nodes that vary or that not all pages have; with one page, all nodes."""
+        return total == 1 or len(t.texts) > 1 or t.pages < total
+
+    def prose(t: Aligned, top: bool = True) -> tuple[int, int]:
+        """Words of slots outside links, and of links, without marked parts."""
+        if t.barred or t.suspect and not top and t.label not in opened:
+            return 0, 0
+        words = t.words if varies(t) else 0
+        inner = [prose(c, False) for c in t.children]
+        links = sum(x[1] for x in inner) + (words if t.tag == "a" else 0)
+        return sum(x[0] for x in inner) + (words if t.tag != "a" else 0), links
+
+    def suspects(t: Aligned):
+        for c in t.children:
+            if not c.barred:
+                if c.suspect:
+                    yield c
+                yield from suspects(c)
+
+    opened: frozenset = frozenset()
+    if total > 1:
+        found = [(c, marked(c.marks, OTHER_MARKS), *prose(c)) for c in suspects(root)]
+        found = [x for x in found if x[2] >= OPENED_WORDS * total and x[2] > x[3]]
+        opened = frozenset(c.label for c, other, _, _ in found if not other)
+        outside = prose(root)[0]
+        if outside < FEW_WORDS * total:
+            opened |= {c.label for c, other, words, _ in found if other and words > 10 * outside}
+
+    def skip(t: Aligned) -> bool:
+        return t.barred or t.suspect and t.label not in opened
+
+    masses: dict[int, int] = {}
 
     def mass(t: Aligned) -> int:
-        """Text of slots, that is, of nodes that vary or that not all pages have; with one page, all text."""
-        if t.skip:
-            return 0
-        vary = len(trees) == 1 or len(t.texts) > 1 or t.pages < len(trees)
-        return (t.length if vary and t.tag != "a" else 0) + sum(map(mass, t.children))
+        """Text of slots outside links."""
+        if id(t) not in masses:
+            masses[id(t)] = 0 if skip(t) else (t.length if varies(t) and t.tag != "a" else 0) + sum(map(mass, t.children))
+        return masses[id(t)]
 
     path, t = [], root
     while True:
         whole = mass(t)
-        inner = max((c for c in t.children if c.tag in BLOCK and c.tag not in PROSE and not c.skip), key=mass, default=None)
+        inner = max((c for c in t.children if c.tag in BLOCK and c.tag not in PROSE and not skip(c)), key=mass, default=None)
         # where anything varies beside the child, be it a title, the region is the node that holds both
         if inner is None or not whole or mass(inner) < whole or sum(c.label == inner.label for c in t.children) > 1:
             break
@@ -151,85 +262,111 @@ def induce(pages: list[str], least: int = 4) -> dict:
         t = inner
         if t.tag in ("article", "main") and not any(c.tag == "article" for c in t.children):
             break
+
+    def length(x: Aligned) -> int:
+        return 0 if skip(x) else x.length + sum(map(length, x.children))
+
+    firm = total >= 3 and 2 * mass(t) >= length(t)
+    same: dict[int, bool] = {}
+
+    def fixed(x: Aligned) -> bool:
+        if id(x) not in same:
+            same[id(x)] = x.pages == total and len(x.texts) == 1 and all(skip(c) or fixed(c) for c in x.children)
+        return same[id(x)]
+
     constant = []
 
     def labels(x: Aligned, at: list[str], prose: bool) -> None:
-        text = next(iter(x.texts))
-        if len(trees) >= least and x.pages == len(trees) and len(x.texts) == 1 and text and not prose and len(text.split()) <= 8 and text[-1] not in ".!?…\"'»”":
-            constant.append(["/".join(at), text])
         for c in x.children:
-            if not c.skip:
-                labels(c, [*at, c.label], prose or c.tag in PROSE)
-
-    if mass(t):
-        labels(t, [], False)
+            if skip(c):
+                continue
+            inside = prose or c.tag in PROSE
+            if fixed(c):
+                brief = not inside and len(c.first.split()) <= 8 and not c.children and c.first[-1:] not in tuple(".!?…\"'»”")
+                if (firm or brief) and (key := subtree_of(c, opened)):
+                    constant.append(["/".join([*at, c.label]), key])
+            else:
+                labels(c, [*at, c.label], inside)
+
+    if total > 1 and mass(t):
+        labels(t, path, False)
     beside: set[str] = set()
 
     def known(x: Aligned) -> None:
-        if not x.skip:
-            beside.update(map(told, x.texts))
+        if not skip(x):
+            beside.update(x.texts)
             for c in x.children:
                 known(c)
 
     t = root
     for label in path:
-        beside.update(map(told, t.texts))
+        beside.update(t.texts)
         for c in t.children:
             if c.label != label:
                 known(c)
         t = next(c for c in t.children if c.label == label)
-    return {"region": path, "constant": constant, "beside": sorted(beside)}
+    return {"region": path, "opened": sorted(opened), "constant": constant, "beside": sorted(beside)}
 
 
 def told(text: str) -> str:
     return xxhash.xxh64_hexdigest(text.encode("utf-8", "replace"))
 
 
-def along(tree: Node, path: list[str], beside: set[str]) -> list[Node]:
+def _inner(node: Node, at: str) -> list[tuple[Node, str]]:
+    """The elements in a node, and their places: the labels from the root on."""
+    return [(c, f"{at}/{c.label}" if at else c.label) for c in node.children if isinstance(c, Node)]
+
+
+def along(tree: Node, path: list[str], beside: set[str], opened: frozenset = frozenset()) -> list[tuple[Node, str]]:
     """The nodes at this path and, in their order, parts beside it with any text that the aligned pages don't have there; nothing if the path is absent."""
     reached = False
 
     def new(node: Node) -> bool:
         text = own_text(node) if node.tag != "a" else ""
-        return bool(text) and told(text) not in beside or any(new(c) for c in node.children if isinstance(c, Node) and not skipped(c, True))
+        return bool(text) and told(text) not in beside or any(new(c) for c in node.children if isinstance(c, Node) and not skipped(c, True, True, opened))
 
-    def walk(node: Node, k: int) -> list[Node]:
+    def walk(node: Node, at: str, k: int) -> list[tuple[Node, str]]:
         nonlocal reached
         if k == len(path):
             reached = True
-            return [node]
-        inner = [c for c in node.children if isinstance(c, Node)]
-        out = [x for c in inner for x in (walk(c, k + 1) if c.label == path[k] else [c] if not skipped(c, False) and new(c) else [])]
+            return [(node, at)]
+        out = [x for c, there in _inner(node, at) for x in (walk(c, there, k + 1) if c.label == path[k] else [(c, there)] if not skipped(c, False, True, opened) and new(c) else [])]
         text = own_text(node)
-        return [node] if text and told(text) not in beside else out
+        return [(node, at)] if text and told(text) not in beside else out
 
-    found = walk(tree, 0)
+    found = walk(tree, "", 0)
     return found if reached else []
 
 
-def regions(tree: Node, path: list[str], beside: list[str] | None = None) -> list[Node]:
-    """The nodes at this path; without any, the page's articles, else its main part, else such parts inside nodes that their marks would skip (unless the
-    part itself has such a mark, as a comment), else all of the page."""
-    found = [tree]
+def regions(tree: Node, path: list[str], beside: list[str] | None = None, opened: frozenset = frozenset()) -> list[tuple[Node, str]]:
+    """The nodes at this path, with their places; without any, the page's articles, else its main part, else such parts inside nodes that their marks would
+    skip (unless the part itself has such a mark, as a comment), else all of the page."""
+    found = [(tree, "")]
     for label in path:
-        found = [c for x in found for c in x.children if isinstance(c, Node) and c.label == label]
-    if found and path and found[0].tag not in ("html", "body"):
-        return found if beside is None else along(tree, path, set(beside))
+        found = [x for node, at in found for x in _inner(node, at) if x[0].label == label]
+    if found and path and found[0][0].tag not in ("html", "body"):
+        return found if beside is None else along(tree, path, set(beside), opened)
 
-    def seek(node: Node, tag: str, by_marks: bool = True) -> list[Node]:
+    def seek(tag: str, by_marks: bool = True, node: Node = tree, at: str = "") -> list[tuple[Node, str]]:
         out = []
-        for c in node.children:
-            if isinstance(c, Node):
-                here = c.tag == tag and not skipped(c, True) and (by_marks or not marked(c.marks))
-                out += [c] if here else [] if skipped(c, False, by_marks) else seek(c, tag, by_marks)
+        for c, there in _inner(node, at):
+            if c.tag == tag and not skipped(c, True, True, opened) and (by_marks or not marked(c.marks)):
+                out.append((c, there))
+            elif not skipped(c, False, by_marks, opened):
+                out += seek(tag, by_marks, c, there)
         return out
 
-    return seek(tree, "article") or seek(tree, "main") or seek(tree, "article", False) or seek(tree, "main", False) or [tree]
+    return seek("article") or seek("main") or seek("article", False) or seek("main", False) or [(tree, "")]
+
+
+def _rules(wrapper: dict) -> tuple[set, set, frozenset]:
+    constant = {tuple(x) for x in wrapper["constant"]}
+    return constant, {x[0] for x in constant}, frozenset(wrapper.get("opened") or ())
 
 
 def main_text(page: str, wrapper: dict) -> str:
     """The blocks of the region, one a line: white space inside is one blank, references are decoded, and nothing is cut off."""
-    constant = {tuple(x) for x in wrapper["constant"]}
+    constant, places, opened = _rules(wrapper)
     blocks: list[str] = []
     held: list[str] = []
 
@@ -239,25 +376,25 @@ def main_text(page: str, wrapper: dict) -> str:
         held.clear()
 
     def walk(node: Node, at: str, by_marks: bool = True):
-        if constant and (at, own_text(node)) in constant and not any(isinstance(c, Node) for c in node.children):
-            return
         for c in node.children:
             if isinstance(c, str):
                 held.append(c)
             elif c.tag == "br":
                 held.append(" ")
-            elif not skipped(c, True, by_marks):
+            elif not skipped(c, True, by_marks, opened):
+                there = f"{at}/{c.label}" if at else c.label
                 block = c.tag in BLOCK
                 if block:
                     end()
-                walk(c, f"{at}/{c.label}" if at else c.label, by_marks)
+                if there not in places or (there, subtree_of(c, opened)) not in constant:
+                    walk(c, there, by_marks)
                 if block:
                     end()
 
-    found = regions(parse(page), wrapper["region"], wrapper.get("beside"))
+    found = regions(parse(page), wrapper["region"], wrapper.get("beside"), opened)
     for by_marks in (True, False):  # a page whose whole text is under such marks keeps it
-        for region in found:
-            walk(region, "", by_marks)
+        for region, at in found:
+            walk(region, at, by_marks)
             end()
         if blocks:
             break
@@ -265,19 +402,20 @@ def main_text(page: str, wrapper: dict) -> str:
 
 
 def held_constants(page: str, wrapper: dict) -> set[tuple[str, str]]:
-    """The constant labels of the wrapper that this page has at their places."""
-    constant, found = {tuple(x) for x in wrapper["constant"]}, set()
+    """The constant subtrees of the wrapper that this page has at their places."""
+    constant, places, opened = _rules(wrapper)
+    found = set()
 
     def walk(node: Node, at: str):
-        inner = [c for c in node.children if isinstance(c, Node)]
-        if not inner and (at, text := own_text(node)) in constant:
-            found.add((at, text))
-        for c in inner:
-            if not skipped(c, True):
-                walk(c, f"{at}/{c.label}" if at else c.label)
-
-    for region in regions(parse(page), wrapper["region"]):
-        walk(region, "")
+        for c, there in _inner(node, at):
+            if not skipped(c, True, True, opened):
+                if there in places and (key := (there, subtree_of(c, opened))) in constant:
+                    found.add(key)
+                else:
+                    walk(c, there)
+
+    for region, at in regions(parse(page), wrapper["region"], None, opened):
+        walk(region, at)
     return found
 
 
@@ -286,16 +424,12 @@ def _wrapper(told: str) -> dict:
     return json.loads(told)
 
 
-EMPTY = json.dumps({"region": [], "constant": []})
+EMPTY = json.dumps({"region": [], "opened": [], "constant": []})
 
 
-def _induce(slots: int):
-    def run(t: pa.Table) -> pa.Table:
-        pages = [x for x in t.column("html").to_pylist() if x]
-        # fewer than the slots are all the pages of the host
-        return pa.table({"host": t.column("host")[:1].cast(pa.string()), "wrapper": [json.dumps(induce(pages, 2 if t.num_rows < slots else 4))]})
-
-    return run
+def _induce(t: pa.Table) -> pa.Table:
+    pages = [x for x in t.column("html").to_pylist() if x]
+    return pa.table({"host": t.column("host")[:1].cast(pa.string()), "wrapper": [json.dumps(induce(pages))]})
 
 
 def _count(batches):
@@ -333,13 +467,13 @@ def meet(rows: DataFrame, made: DataFrame, how: str) -> DataFrame:
 
 def confirm(rows: DataFrame, made: DataFrame, share: float = CONSTANT_SHARE) -> DataFrame:
     """The wrappers with those constant labels only that a share of all the host's pages has; rows are (host, html)."""
-    shape = F.from_json("wrapper", "region array<string>, constant array<array<string>>, beside array<string>")
+    shape = F.from_json("wrapper", "region array<string>, opened array<string>, constant array<array<string>>, beside array<string>")
     unsure = cut(made.filter(F.size(shape["constant"]) > 0))
     n = meet(rows, unsure, "inner").select("host", "html", "wrapper").mapInArrow(_count, "host string, at string, label string, n long").groupBy("host", "at", "label").agg(F.sum("n").alias("n"))
     n = cut(n)
     pages = n.filter("at is null").select("host", F.col("n").alias("pages"))
     sure = n.filter("at is not null").join(pages, "host").filter(F.col("n") >= share * F.col("pages")).groupBy("host").agg(F.array_sort(F.collect_list(F.array("at", "label"))).alias("sure"))
-    wrapper = F.struct(shape["region"].alias("region"), F.coalesce("sure", F.array().cast("array<array<string>>")).alias("constant"), shape["beside"].alias("beside"))
+    wrapper = F.struct(shape["region"].alias("region"), shape["opened"].alias("opened"), F.coalesce("sure", F.array().cast("array<array<string>>")).alias("constant"), shape["beside"].alias("beside"))
     return made.join(sure, "host", "left").select("host", F.to_json(wrapper).alias("wrapper"))
 
 
@@ -356,7 +490,7 @@ def wrappers(df: DataFrame, url_col: str = "url", html_col: str = "html", slots:
         pages = rows.join(F.broadcast(chosen), ["host", "h"], "left_semi").groupBy("host", "h").agg(F.first("html").alias("html"))
     else:  # copies of a page are one before the join, so no page that many share is a task of its own
         pages = rows.groupBy("host", "h").agg(F.first("html").alias("html")).join(chosen, ["host", "h"], "left_semi")
-    return confirm(rows.select("host", "html"), cut(pages.groupBy("host").applyInArrow(_induce(slots), "host string, wrapper string")))
+    return confirm(rows.select("host", "html"), cut(pages.groupBy("host").applyInArrow(_induce, "host string, wrapper string")))
 
 
 def extract_main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", slots: int = SLOTS) -> DataFrame:

@@ -1,16 +1,20 @@
 import random
 
 from tabulon.llm import wrapper
-from tabulon.llm.dom import parse
-from tabulon.llm.wrapper import Aligned, align, extract_main_text, induce, main_text, match, size, wrappers
+from tabulon.llm.dom import Node, parse
+from tabulon.llm.wrapper import Aligned, align, extract_main_text, induce, main_text, match, wrappers
 
-EMPTY = {"region": [], "constant": []}
+EMPTY = {"region": [], "opened": [], "constant": [], "beside": []}
 
 
 def page(k, body, menu="Home", extra=""):
     return f'<!DOCTYPE html><html lang="en"><head><title>t{k}</title><style>p{{a:b}}</style><script>var x="</p>{k}";</script></head><body><nav><ul><li><a href="/a">{menu}</a><li>{k}</ul></nav><!-- c {k} --><div class="ad ad-{k}">Buy {k}</div>{body}{extra}<footer>&copy; x</footer></body></html>'
 
 
+def size(node):
+    return 1 + sum(size(c) for c in node.children if isinstance(c, Node))
+
+
 def brute_match(a, b):
     """The definition, without memo: the largest common top-down ordered subtree."""
     if a.label != b.label:
@@ -56,7 +60,7 @@ def test_induced_region_without_semantic_tags():
     pages = [page(k, body(k)) for k in range(1, 7)]
     w = induce(pages)
     assert w["region"] == ["html", "body", "div.x", "div.story"]
-    assert main_text(pages[2], w) == "Story number 3 has words and more and more and more .\nThe same closing sentence everywhere."
+    assert main_text(pages[2], w) == "Story number 3 has words and more and more and more ."
     assert induce([]) == EMPTY and induce([pages[0]])["constant"] == []
 
 
@@ -86,7 +90,7 @@ def test_labels_are_counted_over_all_pages(spark):
     rows = [(k, "https://a.example/", page(k, body(k, "Rubric"))) for k in range(8)] + [(k, "https://b.example/", page(k, body(k, f"Rubric {k}" if k < 40 else "Rubric"))) for k in range(8, 208)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
     texts = {r.page_id: r.text for r in extract_main_text(df, slots=3).collect()}
-    assert texts[2] == "Words of page 2 differ 14.\nPrint version\nRubric"  # three pages propose nothing
+    assert texts[2] == "Words of page 2 differ 14."  # three pages propose, all are counted
     texts = {r.page_id: r.text for r in extract_main_text(df).collect()}
     assert all(texts[k].startswith(f"Words of page {k} differ {k * 7}.") and "Print version" not in texts[k] for k in range(8, 208))
     # 168 of 200 pages have the same rubric: under the share, so it stays whatever the aligned pages show
@@ -138,3 +142,68 @@ def test_small_hosts_lose_their_labels(spark):
     rows = [(100 * n + k, f"https://h{n}.example/", page(k, f"<article><p>Words {n} of page {k}.</p><span>Print version</span></article>")) for n in range(2, 8) for k in range(n)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(2)
     assert {r.page_id: r.text for r in extract_main_text(df).collect()} == {i: f"Words {i // 100} of page {i % 100}." for i, _, _ in rows}
+
+
+def text_of(k, body):
+    return f"<html><head><title>t{k}</title></head><body>{body}</body></html>"
+
+
+def prose(k, n=40):
+    return " ".join(f"w{k}x{j}" for j in range(n)) + "."
+
+
+def test_constant_nodes_are_template_whatever_they_are():
+    notice = "<p>We have changed our terms. Please read them before you go on.</p>"
+    menu = "<table><tr><td><a href=/w>World</a></td><td>Sports</td></tr></table>"
+    for head in (notice, menu, notice + menu, "<div>Edition: <b>Europe</b>, today.</div>"):
+        pages = [text_of(k, f"<div id=c>{head}<h2>Title {k}</h2><p>{prose(k)}</p></div>") for k in range(8)]
+        assert [main_text(p, induce(pages)) for p in pages] == [f"Title {k}\n{prose(k)}" for k in range(8)]
+
+
+def test_varying_prose_stays_whatever_its_marks():
+    pages = [text_of(k, f"<div class='related share'><h2>Title {k}</h2><p>{prose(k)}</p></div><p>Same line.</p>") for k in range(8)]
+    assert [main_text(p, induce(pages)) for p in pages] == [f"Title {k}\n{prose(k)}" for k in range(8)]
+    # a section with a layout's name and prose is opened; comments, adverts and links that vary aren't
+    rest = "<div class='comments'><p>{c}</p></div><div class=ad>{c}</div><div class='search'><a href=/{k}>{c}</a></div>"
+    pages = [text_of(k, f"<article><p>{prose(k)}</p><section class='search banner'><p>{prose(k + 100)}</p></section></article>" + rest.format(k=k, c=prose(k + 200, 300))) for k in range(8)]
+    assert [main_text(p, induce(pages)) for p in pages] == [f"{prose(k)}\n{prose(k + 100)}" for k in range(8)]
+
+
+def test_large_pages_are_samples_too():
+    def body(k, n):
+        return text_of(k, "<div class=top><p>Old news.</p></div><div class=s>" + "".join(f"<p>Paragraph {j} of {k}.</p>" for j in range(n)) + "</div>")
+
+    for n in (30, 4100):
+        pages = [body(k, n + k) for k in range(3)]
+        w = induce(pages)
+        assert w["region"] == ["html", "body", "div.s"]
+        assert main_text(pages[1], w) == "\n".join(f"Paragraph {j} of 1." for j in range(n + 1))
+
+
+def plain_texts(pages):
+    """A plain form of the result for flat pages: per host, blocks of (place, text) that 90 % of its pages have are template; the rest, in order, is content."""
+    import re
+
+    blocks = [re.findall(r"<(p|h2|li)>(.*?)</\1>", p) for p in pages]
+    n = {}
+    for mine in blocks:
+        for x in set(mine):
+            n[x] = n.get(x, 0) + 1
+    return ["\n".join(t for g, t in mine if n[g, t] < 0.9 * len(pages)) for mine in blocks]
+
+
+def test_against_a_plain_form(spark):
+    rng = random.Random(5)
+    rows = []
+    for host in range(6):
+        fixed = [f"<{rng.choice(['p', 'h2', 'li'])}>Fixed line {host}.{j} stands here.</" for j in range(rng.randint(0, 4))]
+        fixed = [x + x[1 : x.index(">")] + ">" for x in fixed]
+        for k in range(rng.choice([3, 5, 12, 40])):
+            own = [f"<p>{prose(1000 * host + 10 * k + j, 12)}</p>" for j in range(rng.randint(3, 6))]
+            some = ["<p>A passage that some pages of the host quote.</p>"] * (rng.random() < 0.3)
+            rows.append((len(rows), f"https://h{host}.example/{k}", text_of(k, "<div>" + "".join([*fixed[:2], *own, *some, *fixed[2:]]) + "</div>")))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = {r.page_id: r.text for r in extract_main_text(df).collect()}
+    for host in range(6):
+        mine = [r for r in rows if r[1].startswith(f"https://h{host}.")]
+        assert [got[r[0]] for r in mine] == plain_texts([r[2] for r in mine])
