@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from tabulon.llm.line_dedup import drop_shared_lines
+from tabulon.llm.line_dedup import drop_shared_lines, line_key, suspected_lines
 
 
 def brute(rows, min_chars=40, min_docs=5):
@@ -34,7 +34,7 @@ def corpus():
     return [*rows, (100, None), (101, ""), (None, shared[0]), (None, None), (102, "x" * 200_000), (3, rows[3][1])]
 
 
-@pytest.mark.parametrize("limits", [{}, {"max_keys": 0}, {"max_filter_bits": 1}, {"max_filter_bits": 1, "max_keys": 0}])
+@pytest.mark.parametrize("limits", [{}, {"max_keys": 0}, {"max_filter_bits": 1}, {"max_filter_bits": 1, "max_keys": 0}, {"max_filter_bits": 1, "max_suspects": 0}, {"max_filter_bits": 1, "max_suspects": 0, "max_keys": 0}])
 def test_against_brute_force(spark, limits):
     rows = corpus()
     df = spark.createDataFrame([(i, t, "a", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, n_lines string, extra int").repartition(5)
@@ -48,3 +48,18 @@ def test_edges(spark):
     assert drop_shared_lines(df).collect() == [(1, "", 1, 0)]
     assert drop_shared_lines(df.limit(0)).count() == 0
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+@pytest.mark.parametrize("limits", [{}, {"max_filter_bits": 1}, {"max_filter_bits": 1, "max_suspects": 0}])
+def test_only_suspected_repeats_are_shuffled(spark, limits):
+    rng = random.Random(8)
+    twice = [f"line {k} of two documents, long enough to count as one" for k in range(50)]
+    rows = [(i, "\n".join([*(f"own line {i} {j} of one document, with some more words" for j in range(200)), *rng.sample(twice, 3)])) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(6)
+    got = [(bytes(r.digest), r.id) for r in suspected_lines(df, **limits).collect()]
+    lines = {}
+    for i, t in rows:
+        for x in t.encode().split(b"\n"):
+            lines.setdefault(hashlib.md5(line_key(x)).digest(), set()).add(i)
+    repeats = {(d, i) for d, held in lines.items() if len(held) > 1 for i in held}
+    assert repeats <= set(got) and len(got) == len(set(got)) <= len(repeats) + 20  # of 12,180 lines
