@@ -1,6 +1,8 @@
-"""Near copies by the Jaccard similarity of their word shingles: candidates by MinHash bands, confirmed by the exact similarity.
+"""Near copies by the Jaccard similarity of their word shingles: candidates by SimHash fingerprints and by MinHash bands, confirmed by the exact similarity.
 
-A document is the set of its distinct shingles; equal sets are one. Two sets with similarity s agree in a band of ROWS minima with probability s**ROWS,
+A document is the set of its distinct shingles; equal sets are one. Fingerprints that lie within the radius of the index in Gray order make the
+first candidates, which are nearly copies. Fingerprints of pairs at 0.8 differ in up to some 15 bits, a radius at which that index prunes nothing, so the others
+are found by bands: two sets with similarity s agree in a band of ROWS minima with probability s**ROWS,
 so at 0.8 all of BANDS bands miss a pair with probability 7e-6. Sets that meet in a band are candidates. Their shingles are read again, and only pairs
 whose exact similarity reaches the share are links. Within a band's group each set is held against two of it first; then
 those that are not yet in the component of most of the group are held against all the others of other components, so no link of a group is left out, and a large
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import binary, cut, fresh, quoted, small_batches
-from .simhash import components
+from .simhash import RADIUS, components, link_fingerprints, majority_bits, shingle_hashes
 
 WIDTH, SHARE = 5, 0.8
 BANDS, ROWS = 30, 5
@@ -31,11 +33,7 @@ _FACTORS = np.random.default_rng(7).integers(0, 1 << 63, (2, BANDS * ROWS), dtyp
 
 def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
     """Sorted distinct hashes of the runs of width words (fewer words are one run), with A-Z lower-cased; none without words."""
-    words = text.lower().split()  # of bytes: A-Z and [\x20\x09-\x0D] only
-    if not words:
-        return np.zeros(0, _U)
-    runs = zip(*(words[k:] for k in range(width)), strict=False) if len(words) >= width else [words]
-    return np.unique(np.fromiter(map(_HASH, map(b" ".join, runs)), _U, max(1, len(words) - width + 1)))
+    return np.unique(shingle_hashes(text, width))
 
 
 def bands(hashes: np.ndarray) -> np.ndarray:
@@ -53,12 +51,13 @@ def _key(hashes: np.ndarray) -> int:
 def _prints(width: int):
     def run(batches):
         for b in small_batches(batches):
-            sets = [shingles(t, width) for t in binary(b, 2)]
+            told = [shingle_hashes(t, width) for t in binary(b, 2)]
+            prints = np.fromiter(map(majority_bits, told), _U, len(told)).view(np.int64)
+            sets = list(map(np.unique, told))
             keys = np.fromiter(map(_key, sets), _U, len(sets)).view(np.int64)
             found = [bands(s).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(keys), pa.array([len(s) for s in sets], pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["id", "t", "key", "n", "bands"]
-            )
+            cols = [b.column(0), b.column(1), pa.array(keys), pa.array(prints), pa.array([len(s) for s in sets], pa.int64()), pa.array(found, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "t", "key", "fp", "n", "bands"])
 
     return run
 
@@ -82,7 +81,7 @@ def similar(pairs: DataFrame, sets: DataFrame, share: float) -> DataFrame:
     return both.filter(F.col("both") >= share * (F.col("sum") - F.col("both")) - 1e-9).select("a", "b")
 
 
-def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, share: float = SHARE) -> DataFrame:
+def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, share: float = SHARE, radius: int = RADIUS) -> DataFrame:
     """One row per row of df: the id, component_id (the smallest id reached over links of this similarity; null where no id is).
 
     Null, empty and blank texts are copies of each other. Ids may be null or repeated; each row gets a row. An empty table gives an empty one.
@@ -90,13 +89,19 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     names = [id_col, fresh([id_col], "component_id")]
     id_type = df.schema[id_col].dataType
     slim = df.select(quoted(id_col).alias("id"), F.xxhash64(quoted(text_col).cast("string")).alias("t"), quoted(text_col).cast("string").alias("text"))
-    schema = T.StructType([T.StructField("id", id_type), *(T.StructField(x, T.LongType()) for x in ("t", "key", "n")), T.StructField("bands", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("id", id_type), *(T.StructField(x, T.LongType()) for x in ("t", "key", "fp", "n")), T.StructField("bands", T.ArrayType(T.LongType()))])
     prints = cut(slim.mapInArrow(_prints(width), schema))
-    first = cut(prints.groupBy("key").agg(F.min("id").alias("first"), F.min("t").alias("t"), F.min("n").alias("n"), F.min("bands").alias("bands")))
+    first = cut(prints.groupBy("key").agg(F.min("id").alias("first"), F.min("t").alias("t"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("bands").alias("bands")))
     placed = first.select("key", "t", "n", F.explode("bands").alias("band"))
     meets = placed.groupBy("band").agg(F.count("*").alias("size"), F.min("key").alias("low"), F.max("key").alias("high"), F.min(F.struct("key", "n")).alias("ln"), F.max(F.struct("key", "n")).alias("hn")).filter("size > 1")
     members = cut(placed.join(meets, "band"))
-    wanted = members.select("t").distinct()
+    # candidates of the index in Gray order: sets of one fingerprint, and a spanning forest of the near fingerprints
+    tops = cut(first.groupBy("fp").agg(F.min("key").alias("hub")))
+    same = first.join(tops, "fp").select(F.col("key").alias("a"), F.col("hub").alias("b"))
+    forest = link_fingerprints(tops, radius).join(tops.select(F.col("fp").alias("a"), F.col("hub").alias("x")), "a").join(tops.select(F.col("fp").alias("b"), F.col("hub").alias("y")), "b")
+    close = cut(same.unionByName(forest.select(F.col("x").alias("a"), F.col("y").alias("b"))).filter("a <> b"))
+    ends = close.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    wanted = members.select("t").unionByName(first.join(ends, "key", "left_semi").select("t")).distinct()
     texts = slim.join(wanted, "t", "left_semi").groupBy("t").agg(F.first("text").alias("text"))
     sets = cut(texts.select("text").mapInArrow(_sets(width), "key long, held array<long>").dropDuplicates(["key"]))
 
@@ -104,7 +109,7 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
         return F.least(x, y) >= share * F.greatest(x, y) - 1e-9
 
     stars = [members.filter(F.col("key") != F.col(hub)).filter(near_size(F.col("n"), F.col(f"{at}.n"))).select(F.col("key").alias("a"), F.col(hub).alias("b")) for hub, at in (("low", "ln"), ("high", "hn"))]
-    links = cut(similar(stars[0].unionByName(stars[1]).distinct(), sets, share))
+    links = cut(similar(stars[0].unionByName(stars[1]).unionByName(close).distinct(), sets, share))
     roots = cut(components(links))
     # groups of more than three that are not yet one component
     large = members.filter("size > 3").select("band", "key", "n").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))

@@ -32,18 +32,26 @@ _HASH = partial(xxhash.xxh64_intdigest, seed=42)
 _U = np.uint64
 
 
-def fingerprint(text: bytes, width: int = SHINGLE) -> int:
-    """64 bits: those set in over half of the shingles' hashes."""
+def shingle_hashes(text: bytes, width: int = SHINGLE) -> np.ndarray:
+    """XXH64 of the runs of width words with A-Z lower-cased, repeats included (fewer words are one run); none without words."""
     words = text.lower().split()  # of bytes: A-Z and [\x20\x09-\x0D] only
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     shingles = zip(*(words[k:] for k in range(width)), strict=False) if len(words) >= width else [words]
-    n = max(1, len(words) - width + 1)
-    hashes = np.fromiter(map(_HASH, map(b" ".join, shingles)), "<u8", n)
+    return np.fromiter(map(_HASH, map(b" ".join, shingles)), "<u8", max(1, len(words) - width + 1))
+
+
+def majority_bits(hashes: np.ndarray) -> int:
+    """64 bits: those set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
-    for at in range(0, n, 4096):
+    for at in range(0, len(hashes), 4096):
         ones += np.unpackbits(hashes[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: bytes, width: int = SHINGLE) -> int:
+    """The majority bits of the text's shingles; zero without words."""
+    return majority_bits(shingle_hashes(text, width))
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
