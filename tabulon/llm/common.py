@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lineage import cut, shared_dir
 
-__all__ = ["binary", "cut", "fresh", "new_folder", "quoted", "shared_dir", "small_batches", "strings", "table"]
+__all__ = ["binary", "cut", "fresh", "held", "new_folder", "quoted", "shared_dir", "small_batches", "strings", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,8 +46,33 @@ def strings(batch: pa.RecordBatch, k: int) -> list[str]:
     return [x or "" for x in batch.column(k).to_pylist()]
 
 
-def small_batches(batches, mb: float = 8.0):
-    """The same rows in batches of about so many MB at most, so that very long texts don't pile up."""
+_HELD: dict = {}
+
+
+def held(key, make: Callable):
+    """What make() gives, kept by this worker between the tasks of one operator; only one such value is kept."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def _settle() -> None:
+    """Memory that earlier tasks of this worker have freed goes back to the system, where the C library can do that."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def small_batches(batches, mb: float = 8.0, keep: bool = False):
+    """The same rows in batches of about so many MB at most, so that very long texts don't pile up. Workers serve one stage after the other: without keep, what
+    held() has kept goes."""
+    if not keep:
+        _HELD.clear()
+    _settle()
     for b in batches:
         parts = max(1, min(b.num_rows, int(b.nbytes / (mb * 1e6)) + 1))
         step = -(-b.num_rows // parts) if b.num_rows else 1

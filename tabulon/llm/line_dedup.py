@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import binary, cut, fresh, quoted, small_batches
+from .common import binary, cut, fresh, held, quoted, small_batches
 
 MIN_CHARS, MIN_DOCS = 40, 5
 SLOTS_PER_LINE = 4  # for lines of MIN_CHARS; usual lines are several times longer and get as many more
@@ -75,18 +75,18 @@ def _segments(slots: list[np.ndarray]):
 
 def _fill(text_at: int, bits: int, min_chars: int):
     def run(batches):
-        held, n = [], 0
+        found, n = [], 0
         for b in small_batches(batches):
             for text in binary(b, text_at):
                 if keys := _keys(text, min_chars):
                     # a slot counts once for a document, so that its own repeats raise no suspicion
-                    held.append(np.unique(np.concatenate(_slots(_hashes(keys), bits))))
-                    n += len(held[-1])
+                    found.append(np.unique(np.concatenate(_slots(_hashes(keys), bits))))
+                    n += len(found[-1])
             if n > 4_000_000:
-                yield _segments(held)
-                held, n = [], 0
-        if held:
-            yield _segments(held)
+                yield _segments(found)
+                found, n = [], 0
+        if found:
+            yield _segments(found)
 
     return run
 
@@ -114,17 +114,17 @@ def _send(text_at: int, bits: int, min_chars: int):
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["seg", "once", "twice"])
 
     def run(batches):
-        held, n = [], 0
+        found, n = [], 0
         for b in small_batches(batches):
             for text in binary(b, text_at):
                 if keys := _keys(text, min_chars):
-                    held.append(np.unique(_hashes(keys)))
-                    n += len(held[-1])
+                    found.append(np.unique(_hashes(keys)))
+                    n += len(found[-1])
             if n > 2_000_000:
-                yield batch(held)
-                held, n = [], 0
-        if held:
-            yield batch(held)
+                yield batch(found)
+                found, n = [], 0
+        if found:
+            yield batch(found)
 
     return run
 
@@ -155,27 +155,21 @@ def _suspect(bits: int):
     return run
 
 
-_FILTERS: dict[str, np.ndarray] = {}
-
-
-def _filter_of(sent, bits: int) -> np.ndarray:
-    """The broadcast filter as packed bits, unpacked once a worker."""
-    if sent.value["id"] not in _FILTERS:
-        _FILTERS.clear()
-        flat = np.zeros(max(1, (1 << bits) // 8), np.uint8)
-        size = (1 << SEGMENT_BITS) // 8
-        for seg, data in sent.value["segments"].items():
-            flat[seg * size : (seg + 1) * size] = np.frombuffer(zlib.decompress(data), np.uint8)
-        _FILTERS[sent.value["id"]] = flat
-    return _FILTERS[sent.value["id"]]
+def _unpacked(segments: dict[int, bytes], bits: int) -> np.ndarray:
+    """The filter as packed bits."""
+    flat = np.zeros(max(1, (1 << bits) // 8), np.uint8)
+    size = (1 << SEGMENT_BITS) // 8
+    for seg, data in segments.items():
+        flat[seg * size : (seg + 1) * size] = np.frombuffer(zlib.decompress(data), np.uint8)
+    return flat
 
 
 def _lines(bits: int, min_chars: int, sent):
     """Distinct candidate keys of each document that the filter, or the sorted array of suspected hashes, holds."""
 
     def run(batches):
-        held = _filter_of(sent, bits) if bits else sent.value
-        for b in small_batches(batches):
+        known = held(sent.value["id"], lambda: _unpacked(sent.value["segments"], bits)) if bits else sent.value
+        for b in small_batches(batches, keep=True):
             keys, rows = [], []
             for k, text in enumerate(binary(b, 1)):
                 found = _keys(text, min_chars)
@@ -187,9 +181,9 @@ def _lines(bits: int, min_chars: int, sent):
             if bits:
                 hit = np.ones(len(keys), bool)
                 for s in _slots(hashes, bits):
-                    hit &= (held[(s >> np.uint64(3)).astype(np.int64)] >> (s & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                    hit &= (known[(s >> np.uint64(3)).astype(np.int64)] >> (s & np.uint64(7)).astype(np.uint8)) & 1 == 1
             else:
-                hit = held[np.minimum(np.searchsorted(held, hashes), len(held) - 1)] == hashes if len(held) else np.zeros(len(keys), bool)
+                hit = known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes if len(known) else np.zeros(len(keys), bool)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), b.column(0).take(pa.array(rows, pa.int64()))], ["key", "id"]).filter(pa.array(hit))
 
     return run

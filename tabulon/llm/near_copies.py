@@ -3,7 +3,8 @@
 A document is the set of its distinct shingles; equal sets are one. Fingerprints that lie within the radius of the index in Gray order make the
 first candidates, which are nearly copies. Fingerprints of pairs at 0.8 differ in up to some 15 bits, a radius at which that index prunes nothing, so the others
 are found by bands: two sets with similarity s agree in a band of ROWS minima with probability s**ROWS,
-so at 0.8 all of BANDS bands miss a pair with probability 7e-6. Sets that meet in a band are candidates. Their shingles are read again, and only pairs
+so at 0.8 all of BANDS bands miss a pair with probability 7e-6. Sets that meet in a band are candidates. Those in which less than LIKELY of the
+BANDS * ROWS minima agree go (five standard deviations below 0.8, at which 3e-7 of the pairs lie lower). The shingles of the others are read again, and only pairs
 whose exact similarity reaches the share are links. Within a band's group each set is held against two of it first; then
 those that are not yet in the component of most of the group are held against all the others of other components, so no link of a group is left out, and a large
 group of near copies doesn't make all of its pairs.
@@ -25,7 +26,9 @@ from .simhash import RADIUS, components, link_fingerprints, majority_bits, shing
 
 WIDTH, SHARE = 5, 0.8
 BANDS, ROWS = 30, 5
+LIKELY = 5  # standard deviations
 SALTS = 32
+BROADCAST_ROWS = 1_000_000  # of three longs
 _HASH = partial(xxhash.xxh64_intdigest, seed=42)
 _U = np.uint64
 _FACTORS = np.random.default_rng(7).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.int64).view(_U) * _U(2) + _U(1)
@@ -36,12 +39,12 @@ def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
     return np.unique(shingle_hashes(text, width))
 
 
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """One number for each band: a hash of its number and minima."""
+def bands(hashes: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """One number for each band, a hash of its number and minima; and a byte of each minimum."""
     low = np.full(BANDS * ROWS, ~_U(0))
     for at in range(0, len(hashes), 256):
         np.minimum(low, ((hashes[at : at + 256, None] ^ _FACTORS[1]) * _FACTORS[0]).min(axis=0), out=low)
-    return np.array([_HASH(bytes([k]) + row.tobytes()) for k, row in enumerate(low.reshape(BANDS, ROWS))], _U)
+    return np.array([_HASH(bytes([k]) + row.tobytes()) for k, row in enumerate(low.reshape(BANDS, ROWS))], _U), (low >> _U(20)).astype(np.uint8).tobytes()
 
 
 def _key(hashes: np.ndarray) -> int:
@@ -55,9 +58,10 @@ def _prints(width: int):
             prints = np.fromiter(map(majority_bits, told), _U, len(told)).view(np.int64)
             sets = list(map(np.unique, told))
             keys = np.fromiter(map(_key, sets), _U, len(sets)).view(np.int64)
-            found = [bands(s).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
-            cols = [b.column(0), b.column(1), pa.array(keys), pa.array(prints), pa.array([len(s) for s in sets], pa.int64()), pa.array(found, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, ["id", "t", "key", "fp", "n", "bands"])
+            found = [bands(s) if len(s) else (np.zeros(0, _U), b"") for s in sets]
+            cols = [b.column(0), b.column(1), pa.array(keys), pa.array(prints), pa.array([len(s) for s in sets], pa.int64())]
+            cols += [pa.array([x.view(np.int64) for x, _ in found], pa.list_(pa.int64())), pa.array([x for _, x in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "t", "key", "fp", "n", "bands", "minima"])
 
     return run
 
@@ -72,63 +76,108 @@ def _sets(width: int):
     return run
 
 
-def similar(pairs: DataFrame, sets: DataFrame, share: float) -> DataFrame:
-    """Those of the pairs (a, b) whose sets have this similarity; b may stand in very many pairs, which are dealt by salts."""
+def _agree(share: float):
+    """The pairs whose minima agree in so many places that their similarity may be the share; columns a, b, and the minima of both."""
+    least = (share - LIKELY * (share * (1 - share) / (BANDS * ROWS)) ** 0.5) * BANDS * ROWS
+
+    def run(batches):
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(b.num_rows, -1) for k in (2, 3))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= least))
+
+    return run
+
+
+def beside(pairs: DataFrame, values: DataFrame, name: str) -> DataFrame:
+    """The pairs (a, b) with both values (key, name) as x and y; b may stand in very many pairs, which are dealt by salts."""
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)))
-    far = salted.select("b", "salt").distinct().join(sets.select(F.col("key").alias("b"), F.col("held").alias("far")), "b")
-    near = salted.join(sets.select(F.col("key").alias("a"), F.col("held").alias("near")), "a")
-    both = near.join(far, ["b", "salt"]).select("a", "b", F.size(F.array_intersect("near", "far")).alias("both"), (F.size("near") + F.size("far")).alias("sum"))
-    return both.filter(F.col("both") >= share * (F.col("sum") - F.col("both")) - 1e-9).select("a", "b")
+    far = salted.select("b", "salt").distinct().join(values.select(F.col("key").alias("b"), F.col(name).alias("y")), "b")
+    near = salted.join(values.select(F.col("key").alias("a"), F.col(name).alias("x")), "a")
+    return near.join(far, ["b", "salt"]).select("a", "b", "x", "y")
 
 
-def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, share: float = SHARE, radius: int = RADIUS) -> DataFrame:
-    """One row per row of df: the id, component_id (the smallest id reached over links of this similarity; null where no id is).
+def similar(pairs: DataFrame, sets: DataFrame, share: float) -> DataFrame:
+    """Those of the pairs (a, b) whose sets have this similarity."""
+    both = beside(pairs, sets, "held").select("a", "b", F.size(F.array_intersect("x", "y")).alias("both"), (F.size("x") + F.size("y")).alias("sum"))
+    return both.filter(F.col("both") >= share * (F.col("sum") - F.col("both")) - 1e-9).select("a", "b")
 
-    Null, empty and blank texts are copies of each other. Ids may be null or repeated; each row gets a row. An empty table gives an empty one.
-    """
-    names = [id_col, fresh([id_col], "component_id")]
+
+def _linked(df: DataFrame, id_col: str, text_col: str, width: int, share: float, radius: int) -> tuple[DataFrame, DataFrame]:
+    """(id, key) of each row, and (key, first, root) of each set: its smallest id, and the smallest key of its component."""
     id_type = df.schema[id_col].dataType
     slim = df.select(quoted(id_col).alias("id"), F.xxhash64(quoted(text_col).cast("string")).alias("t"), quoted(text_col).cast("string").alias("text"))
-    schema = T.StructType([T.StructField("id", id_type), *(T.StructField(x, T.LongType()) for x in ("t", "key", "fp", "n")), T.StructField("bands", T.ArrayType(T.LongType()))])
+    longs = (T.StructField(x, T.LongType()) for x in ("t", "key", "fp", "n"))
+    schema = T.StructType([T.StructField("id", id_type), *longs, T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("minima", T.BinaryType())])
     prints = cut(slim.mapInArrow(_prints(width), schema))
-    first = cut(prints.groupBy("key").agg(F.min("id").alias("first"), F.min("t").alias("t"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("bands").alias("bands")))
-    placed = first.select("key", "t", "n", F.explode("bands").alias("band"))
-    meets = placed.groupBy("band").agg(F.count("*").alias("size"), F.min("key").alias("low"), F.max("key").alias("high"), F.min(F.struct("key", "n")).alias("ln"), F.max(F.struct("key", "n")).alias("hn")).filter("size > 1")
-    members = cut(placed.join(meets, "band"))
+    first = cut(prints.groupBy("key").agg(F.min("id").alias("first"), F.min("t").alias("t"), F.min("fp").alias("fp"), F.min("n").alias("n")))
+    placed = prints.select("key", F.explode("bands").alias("band"))
+    meets = cut(placed.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low <> high"))
+    few = meets.count() <= BROADCAST_ROWS
+    members = cut(placed.join(F.broadcast(meets) if few else meets, "band").distinct().join(first.select("key", "n", "t"), "key"))
     # candidates of the index in Gray order: sets of one fingerprint, and a spanning forest of the near fingerprints
     tops = cut(first.groupBy("fp").agg(F.min("key").alias("hub")))
     same = first.join(tops, "fp").select(F.col("key").alias("a"), F.col("hub").alias("b"))
     forest = link_fingerprints(tops, radius).join(tops.select(F.col("fp").alias("a"), F.col("hub").alias("x")), "a").join(tops.select(F.col("fp").alias("b"), F.col("hub").alias("y")), "b")
-    close = cut(same.unionByName(forest.select(F.col("x").alias("a"), F.col("y").alias("b"))).filter("a <> b"))
-    ends = close.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    wanted = members.select("t").unionByName(first.join(ends, "key", "left_semi").select("t")).distinct()
-    texts = slim.join(wanted, "t", "left_semi").groupBy("t").agg(F.first("text").alias("text"))
-    sets = cut(texts.select("text").mapInArrow(_sets(width), "key long, held array<long>").dropDuplicates(["key"]))
+    close = same.unionByName(forest.select(F.col("x").alias("a"), F.col("y").alias("b"))).filter("a <> b")
 
     def near_size(x, y):
         return F.least(x, y) >= share * F.greatest(x, y) - 1e-9
 
-    stars = [members.filter(F.col("key") != F.col(hub)).filter(near_size(F.col("n"), F.col(f"{at}.n"))).select(F.col("key").alias("a"), F.col(hub).alias("b")) for hub, at in (("low", "ln"), ("high", "hn"))]
-    links = cut(similar(stars[0].unionByName(stars[1]).unionByName(close).distinct(), sets, share))
+    stars = members.select(F.col("key").alias("a"), F.explode(F.array("low", "high")).alias("b")).filter("a <> b")
+    pairs = cut(stars.unionByName(close).distinct())
+    ends = members.select("key").unionByName(pairs.select(F.explode(F.array("a", "b")).alias("key"))).distinct()
+    minima = cut(prints.select("key", "minima").join(ends, "key", "left_semi").dropDuplicates(["key"]))
+
+    def likely(pairs: DataFrame) -> DataFrame:
+        return cut(beside(pairs, minima, "minima").mapInArrow(_agree(share), "a long, b long"))
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        """Of likely pairs, those whose exact similarity reaches the share; the texts of no others are read again."""
+        keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+        wanted = first.join(keys, "key", "left_semi").select("t")
+        wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+        texts = slim.join(wanted, "t", "left_semi").groupBy("t").agg(F.first("text").alias("text"))
+        sets = cut(texts.select("text").mapInArrow(_sets(width), "key long, held array<long>"))
+        return cut(similar(pairs, sets, share))
+
+    links = confirmed(likely(pairs))
     roots = cut(components(links))
     # groups of more than three that are not yet one component
-    large = members.filter("size > 3").select("band", "key", "n").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    sizes = members.groupBy("band").agg(F.count("*").alias("size")).filter("size > 3").select("band")
+    large = members.join(sizes, "band").select("band", "key", "n").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     most = large.groupBy("band").agg(F.mode("root", True).alias("most"), F.min("root").alias("least"), F.max("root").alias("greatest")).filter("least <> greatest").select("band", "most")
     open_ = cut(large.join(most, "band"))
     odd = open_.filter("root <> most").select("band", F.col("key").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
     rest = open_.join(odd, "band").filter("root <> other").filter((F.col("root") == F.col("most")) | (F.col("key") < F.col("b"))).filter(near_size(F.col("n"), F.col("m")))
-    more = cut(similar(rest.select(F.col("key").alias("a"), "b").distinct(), sets, share))
+    more = likely(rest.select(F.col("key").alias("a"), "b").distinct())
     if not more.isEmpty():
-        roots = components(links.unionByName(more))
+        roots = components(links.unionByName(confirmed(more)))
     rooted = first.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "first", F.coalesce("root", "key").alias("root"))
+    return prints.select("id", "key"), rooted
+
+
+def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, share: float = SHARE, radius: int = RADIUS) -> DataFrame:
+    """One row per row of df: the id, component_id (the smallest id reached over links of this similarity; null where no id is).
+
+    Null, empty and blank texts are copies of each other. Ids may be null or repeated; each row gets a row. An empty table gives an empty one. Extra columns
+    are ignored.
+    """
+    names = [id_col, fresh([id_col], "component_id")]
+    rows, rooted = _linked(df, id_col, text_col, width, share, radius)
     lowest = rooted.groupBy("root").agg(F.min("first").alias("low"))
-    out = prints.select("id", "key").join(rooted.join(lowest, "root").select("key", "low"), "key")
+    out = rows.join(rooted.join(lowest, "root").select("key", "low"), "key")
     return out.select(F.col("id").alias(names[0]), F.col("low").alias(names[1]))
 
 
-def keep_one_copy(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of df whose id is the smallest of its component (rows that repeat that id stay; null ids stay)."""
-    found = near_copies(df, id_col, text_col, **how)
-    ids = found.columns
-    gone = found.filter(quoted(ids[0]) != quoted(ids[1])).select(quoted(ids[0]).alias(fresh(df.columns, "gone"))).distinct()
-    return df.join(gone, quoted(id_col) == quoted(gone.columns[0]), "left_anti")
+def keep_one_copy(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, share: float = SHARE, radius: int = RADIUS) -> DataFrame:
+    """The rows of df whose id is the smallest of a component, with all columns as they are.
+
+    Null, empty and blank texts are copies of each other. Null ids stay; rows that repeat an id stay or go together. An empty table gives an empty one.
+    """
+    rows, rooted = _linked(df, id_col, text_col, width, share, radius)
+    lowest = rooted.groupBy("root").agg(F.min("first").alias("low")).filter("low is not null").select("low")
+    name = fresh(df.columns, "gone")
+    gone = cut(rows.filter("id is not null").join(lowest, F.col("id") == F.col("low"), "left_anti").select(F.col("id").alias(name)).distinct())
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    return df.join(gone, quoted(id_col) == quoted(name), "left_anti")

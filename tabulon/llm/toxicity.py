@@ -8,6 +8,7 @@ over the documents, with no shuffle, in tasks that keep the inputs of words they
 
 from __future__ import annotations
 
+import uuid
 import zlib
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, quoted, small_batches, strings
+from .common import fresh, held, quoted, small_batches, strings
 from .decontam import WORDS
 
 WINDOW, STRIDE = 64, 32
@@ -362,17 +363,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit([r.text or "" for r in got], [r.y for r in got], weights)
 
 
-_SCORERS: dict[int, Scorer] = {}
-
-
 def _score(text_at: int, sent, names: list[str]):
     def run(batches):
-        key = id(sent.value)
-        if key not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[key] = Scorer(sent.value)
-        for b in small_batches(batches, 2.0):
-            yield pa.RecordBatch.from_arrays([*(c for k, c in enumerate(b.columns) if k != text_at), pa.array(_SCORERS[key].scores(strings(b, text_at)), pa.float64())], names)
+        tag, net = sent.value
+        scorer = held(tag, lambda: Scorer(net))
+        for b in small_batches(batches, 2.0, keep=True):
+            yield pa.RecordBatch.from_arrays([*(c for k, c in enumerate(b.columns) if k != text_at), pa.array(scorer.scores(strings(b, text_at)), pa.float64())], names)
 
     return run
 
@@ -384,22 +380,20 @@ def score_toxicity(df: DataFrame, net: Network, id_col: str = "doc_id", text_col
     empty table gives an empty one. Extra columns are ignored.
     """
     name = fresh([id_col], "score")
-    sent = df.sparkSession.sparkContext.broadcast(net)
+    sent = df.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, net))
     slim = df.select(quoted(id_col).alias("id"), quoted(text_col).cast("string").alias("text"))
     return slim.mapInArrow(_score(1, sent, [id_col, name]), T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField(name, T.DoubleType())]))
 
 
 def drop_toxic(df: DataFrame, net: Network, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of df with a score below the threshold, in one pass (rows go through the tasks that score them)."""
-    sent = df.sparkSession.sparkContext.broadcast(net)
+    sent = df.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, net))
     at = df.columns.index(text_col)
 
     def run(batches):
-        key = id(sent.value)
-        if key not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[key] = Scorer(sent.value)
-        for b in small_batches(batches, 2.0):
-            yield b.filter(pa.array(_SCORERS[key].scores(strings(b, at)) < threshold))
+        tag, net_ = sent.value
+        scorer = held(tag, lambda: Scorer(net_))
+        for b in small_batches(batches, 2.0, keep=True):
+            yield b.filter(pa.array(scorer.scores(strings(b, at)) < threshold))
 
     return df.mapInArrow(run, df.schema)
