@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lineage import cut, shared_dir
 
-__all__ = ["binary", "cut", "fresh", "held", "new_folder", "quoted", "shared_dir", "small_batches", "strings", "table"]
+__all__ = ["binary", "cut", "fresh", "held", "new_folder", "packed", "quoted", "shared_dir", "small_batches", "strings", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,12 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def packed(df: DataFrame, per: int = 100_000) -> DataFrame:
+    """A table of narrow rows, materialised, in partitions of about so many rows: what is small doesn't stay dealt over as many tasks as its source."""
+    df = cut(df)
+    return df.coalesce(max(1, -(-df.count() // per)))
+
+
 def fresh(taken: list[str], name: str) -> str:
     """name, with underscores in front as long as a column has it (names differ without regard to case)."""
     low = {c.lower() for c in taken}

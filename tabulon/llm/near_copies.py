@@ -5,9 +5,10 @@ first candidates, which are nearly copies. Fingerprints of pairs at 0.8 differ i
 are found by bands: two sets with similarity s agree in a band of ROWS minima with probability s**ROWS,
 so at 0.8 all of BANDS bands miss a pair with probability 7e-6. Sets that meet in a band are candidates. Those in which less than LIKELY of the
 BANDS * ROWS minima agree go (five standard deviations below 0.8, at which 3e-7 of the pairs lie lower). The shingles of the others are read again, and only pairs
-whose exact similarity reaches the share are links. Within a band's group each set is held against two of it first; then
-those that are not yet in the component of most of the group are held against all the others of other components, so no link of a group is left out, and a large
-group of near copies doesn't make all of its pairs.
+whose exact similarity reaches the share are links. Within a band's group each set is held against one of it first; then
+those that aren't linked with it (odd ones) are held against all the others, so no link of a group is left out.
+That is done in tasks that get a block of odd ones and a block of others, first by minima, then by the sets of those that have a likely partner; a
+task sends on a spanning forest, so no table holds a group's pairs.
 """
 
 from __future__ import annotations
@@ -21,14 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import binary, cut, fresh, quoted, small_batches
+from .common import binary, cut, fresh, packed, quoted, small_batches
 from .simhash import RADIUS, components, link_fingerprints, majority_bits, shingle_hashes
 
 WIDTH, SHARE = 5, 0.8
 BANDS, ROWS = 30, 5
 LIKELY = 5  # standard deviations
 SALTS = 32
-BROADCAST_ROWS = 1_000_000  # of three longs
+BROADCAST_ROWS = 300_000  # of three longs
+BLOCK_SETS, BLOCK_SHINGLES = 2048, 1 << 21
 _HASH = partial(xxhash.xxh64_intdigest, seed=42)
 _U = np.uint64
 _FACTORS = np.random.default_rng(7).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.int64).view(_U) * _U(2) + _U(1)
@@ -78,12 +80,72 @@ def _sets(width: int):
 
 def _agree(share: float):
     """The pairs whose minima agree in so many places that their similarity may be the share; columns a, b, and the minima of both."""
-    least = (share - LIKELY * (share * (1 - share) / (BANDS * ROWS)) ** 0.5) * BANDS * ROWS
 
     def run(batches):
         for b in batches:
             x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(b.num_rows, -1) for k in (2, 3))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= least))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= _least(share)))
+
+    return run
+
+
+def _least(share: float) -> float:
+    """Minima that agree, of two sets with this similarity, but for LIKELY standard deviations."""
+    return (share - LIKELY * (share * (1 - share) / (BANDS * ROWS)) ** 0.5) * BANDS * ROWS
+
+
+def _fits(n: np.ndarray, m, share: float) -> np.ndarray:
+    return np.minimum(n, m) >= share * np.maximum(n, m) - 1e-9
+
+
+def _active(share: float):
+    """Of a block (odd ones and others with their minima), those with a likely partner in another component."""
+
+    def run(t: pa.Table) -> pa.Table:
+        odd = t.column("odd").to_numpy()
+        n, root = t.column("n").to_numpy(), t.column("root").to_numpy()
+        minima = np.frombuffer(b"".join(t.column("minima").to_pylist()), np.uint8).reshape(t.num_rows, -1)
+        mine, others = np.flatnonzero(odd), np.flatnonzero(~odd)
+        keep, least = np.zeros(t.num_rows, bool), _least(share)
+        for k in mine:
+            near = others[_fits(n[others], n[k], share) & (root[others] != root[k])]
+            near = near[(minima[near] == minima[k]).sum(axis=1) >= least]
+            keep[k] |= len(near) > 0
+            keep[near] = True
+        return t.select(["band", "i", "j", "key", "n", "root", "odd"]).filter(pa.array(keep))
+
+    return run
+
+
+def _forest(share: float):
+    """Links (a, b) of a block by the exact similarity of its sets, as many as join its components."""
+
+    def run(t: pa.Table) -> pa.Table:
+        odd, key, n = t.column("odd").to_numpy(), t.column("key").to_numpy(), t.column("n").to_numpy()
+        names, root = np.unique(t.column("root").to_numpy(), return_inverse=True)
+        held = t.column("held").combine_chunks()
+        flat, cuts = held.flatten().to_numpy().view(_U), np.r_[0, np.cumsum(held.value_lengths().to_numpy())]
+        others, owner = np.flatnonzero(~odd), np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+        there = ~odd[owner]
+        order = np.argsort(flat[there], kind="stable")
+        hashes, owner = flat[there][order], owner[there][order]
+        label, links = np.arange(len(names)), []
+        for k in np.flatnonzero(odd):
+            mine = flat[cuts[k] : cuts[k + 1]]
+            lo, hi = np.searchsorted(hashes, mine, "left"), np.searchsorted(hashes, mine, "right")
+            size = hi - lo
+            at = np.repeat(lo - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
+            both = np.bincount(owner[at], minlength=t.num_rows)[others]
+            near = others[both >= share * (n[k] + n[others] - both) - 1e-9]
+            # one partner of each further component
+            _, firsts = np.unique(label[root[near]], return_index=True)
+            for x in near[firsts]:
+                a, b = label[root[k]], label[root[x]]
+                if a != b:
+                    links.append((key[k], key[x]))
+                    label[label == b] = a
+        a, b = zip(*links, strict=True) if links else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
@@ -111,47 +173,53 @@ def _linked(df: DataFrame, id_col: str, text_col: str, width: int, share: float,
     prints = cut(slim.mapInArrow(_prints(width), schema))
     first = cut(prints.groupBy("key").agg(F.min("id").alias("first"), F.min("t").alias("t"), F.min("fp").alias("fp"), F.min("n").alias("n")))
     placed = prints.select("key", F.explode("bands").alias("band"))
-    meets = cut(placed.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low <> high"))
+    meets = packed(placed.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low <> high").select("band", "low"))
     few = meets.count() <= BROADCAST_ROWS
-    members = cut(placed.join(F.broadcast(meets) if few else meets, "band").distinct().join(first.select("key", "n", "t"), "key"))
+    members = packed(placed.join(F.broadcast(meets) if few else meets, "band").distinct().join(first.select("key", "n"), "key"))
     # candidates of the index in Gray order: sets of one fingerprint, and a spanning forest of the near fingerprints
-    tops = cut(first.groupBy("fp").agg(F.min("key").alias("hub")))
+    tops = packed(first.groupBy("fp").agg(F.min("key").alias("hub")))
     same = first.join(tops, "fp").select(F.col("key").alias("a"), F.col("hub").alias("b"))
     forest = link_fingerprints(tops, radius).join(tops.select(F.col("fp").alias("a"), F.col("hub").alias("x")), "a").join(tops.select(F.col("fp").alias("b"), F.col("hub").alias("y")), "b")
     close = same.unionByName(forest.select(F.col("x").alias("a"), F.col("y").alias("b"))).filter("a <> b")
 
-    def near_size(x, y):
-        return F.least(x, y) >= share * F.greatest(x, y) - 1e-9
-
-    stars = members.select(F.col("key").alias("a"), F.explode(F.array("low", "high")).alias("b")).filter("a <> b")
-    pairs = cut(stars.unionByName(close).distinct())
-    ends = members.select("key").unionByName(pairs.select(F.explode(F.array("a", "b")).alias("key"))).distinct()
+    stars = members.select(F.col("key").alias("a"), F.col("low").alias("b")).filter("a <> b")
+    pairs = packed(stars.unionByName(close).distinct())
+    ends = packed(members.select("key").unionByName(pairs.select(F.explode(F.array("a", "b")).alias("key"))).distinct())
+    ends = F.broadcast(ends) if ends.count() <= BROADCAST_ROWS else ends
     minima = cut(prints.select("key", "minima").join(ends, "key", "left_semi").dropDuplicates(["key"]))
 
-    def likely(pairs: DataFrame) -> DataFrame:
-        return cut(beside(pairs, minima, "minima").mapInArrow(_agree(share), "a long, b long"))
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """Of likely pairs, those whose exact similarity reaches the share; the texts of no others are read again."""
-        keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    def sets_of(keys: DataFrame) -> DataFrame:
+        """(key, held) of these distinct keys, from one text of each."""
         wanted = first.join(keys, "key", "left_semi").select("t")
         wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
         texts = slim.join(wanted, "t", "left_semi").groupBy("t").agg(F.first("text").alias("text"))
-        sets = cut(texts.select("text").mapInArrow(_sets(width), "key long, held array<long>"))
-        return cut(similar(pairs, sets, share))
-
-    links = confirmed(likely(pairs))
-    roots = cut(components(links))
-    # groups of more than three that are not yet one component
-    sizes = members.groupBy("band").agg(F.count("*").alias("size")).filter("size > 3").select("band")
-    large = members.join(sizes, "band").select("band", "key", "n").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    most = large.groupBy("band").agg(F.mode("root", True).alias("most"), F.min("root").alias("least"), F.max("root").alias("greatest")).filter("least <> greatest").select("band", "most")
-    open_ = cut(large.join(most, "band"))
-    odd = open_.filter("root <> most").select("band", F.col("key").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
-    rest = open_.join(odd, "band").filter("root <> other").filter((F.col("root") == F.col("most")) | (F.col("key") < F.col("b"))).filter(near_size(F.col("n"), F.col("m")))
-    more = likely(rest.select(F.col("key").alias("a"), "b").distinct())
-    if not more.isEmpty():
-        roots = components(links.unionByName(confirmed(more)))
+        return cut(texts.select("text").mapInArrow(_sets(width), "key long, held array<long>"))
+
+    def keys_of(pairs: DataFrame) -> DataFrame:
+        return packed(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
+
+    likely = packed(beside(pairs, minima, "minima").mapInArrow(_agree(share), "a long, b long"))
+    links = packed(similar(likely, sets_of(keys_of(likely)), share))
+    # in a group of three and more, whoever isn't linked with its lowest key; the others are one component
+    sure = members.join(links.select(F.col("a").alias("key"), F.col("b").alias("low"), F.lit(True).alias("sure")), ["key", "low"], "left")
+    sure = sure.withColumn("odd", F.col("sure").isNull() & (F.col("key") != F.col("low"))).withColumn("root", F.when(F.col("odd"), F.col("key")).otherwise(F.col("low"))).drop("sure", "low")
+
+    def blocks(which) -> DataFrame:
+        parts = F.greatest(F.count_if(which) / BLOCK_SETS, F.sum(F.when(which, F.col("n"))) / BLOCK_SHINGLES)
+        return F.greatest(F.ceil(parts), F.lit(1)).cast("int")
+
+    sure = packed(sure)
+    dealt = sure.groupBy("band").agg(F.count("*").alias("size"), blocks(F.col("odd")).alias("down"), blocks(F.lit(True)).alias("across"), F.bool_or("odd").alias("open")).filter("open and size > 2")
+    dealt = sure.join(dealt.select("band", "down", "across"), "band").withColumn("at", F.xxhash64("key"))
+    one = dealt.filter("odd").select("band", "key", "n", "root", "odd", F.pmod("at", "down").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("j"))
+    all_ = dealt.select("band", "key", "n", "root", F.lit(False).alias("odd"), F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("i"), F.pmod("at", "across").cast("int").alias("j"))
+    shape = "band long, i int, j int, key long, n long, root long, odd boolean"
+    block = ["band", "i", "j"]
+    active = packed(one.unionByName(all_).join(minima, "key").groupBy(*block).applyInArrow(_active(share), shape))
+    if not active.isEmpty():
+        sets = sets_of(packed(active.select("key").distinct()))
+        links = links.unionByName(active.join(sets, "key").groupBy(*block).applyInArrow(_forest(share), "a long, b long"))
+    roots = components(links)
     rooted = first.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "first", F.coalesce("root", "key").alias("root"))
     return prints.select("id", "key"), rooted
 
@@ -177,7 +245,7 @@ def keep_one_copy(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows, rooted = _linked(df, id_col, text_col, width, share, radius)
     lowest = rooted.groupBy("root").agg(F.min("first").alias("low")).filter("low is not null").select("low")
     name = fresh(df.columns, "gone")
-    gone = cut(rows.filter("id is not null").join(lowest, F.col("id") == F.col("low"), "left_anti").select(F.col("id").alias(name)).distinct())
+    gone = packed(rows.filter("id is not null").join(lowest, F.col("id") == F.col("low"), "left_anti").select(F.col("id").alias(name)).distinct())
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
     return df.join(gone, quoted(id_col) == quoted(name), "left_anti")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import binary, cut, fresh, quoted, small_batches
+from .common import binary, cut, fresh, packed, quoted, small_batches
 
 SHINGLE, RADIUS = 3, 2
 FAN = 16
@@ -184,7 +184,7 @@ def components(edges: DataFrame) -> DataFrame:
     Every round reads and writes small tables, cut off by a checkpoint. Minima are aggregated before they are joined,
     so a node with very many neighbours is no task of its own.
     """
-    edges = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    edges = packed(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
 
     def state(e):
         return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
@@ -196,7 +196,7 @@ def components(edges: DataFrame) -> DataFrame:
         edges = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = edges.groupBy("u").agg(F.min("v").alias("m"))
         down = edges.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut(down.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        edges = packed(down.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         last, now = now, state(edges)
         if now == last:
             break
@@ -204,9 +204,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def link_fingerprints(prints: DataFrame, radius: int = RADIUS, node_rows: int = NODE_ROWS, least_nodes: int = LEAST_NODES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(a, b): a spanning forest of the links between distinct fingerprints (column fp) that differ in radius bits at most."""
+    """(a, b): a spanning forest of the links between fingerprints that differ in radius bits at most. The column fp is distinct, and the table materialised."""
     spark = prints.sparkSession
-    distinct = cut(prints.select("fp").distinct())
+    distinct = prints.select("fp")
     n = distinct.count()
     part = n // sample_rows + 1
     sample = np.array([r[0] for r in distinct.filter(F.pmod(F.xxhash64("fp"), F.lit(part)) == 0).collect()], np.int64).view(_U)
