@@ -81,3 +81,56 @@ def test_bearers_of_a_family_name_stay_apart(spark):
 
 def test_empty(spark):
     assert run(spark, ROWS[:0]) == {}
+
+
+def mod97(iban):
+    x = iban.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97
+
+
+def test_scripts_checks_and_countries(spark):
+    rows = [
+        (1, "иван@почта.рф and νίκος@ελλάδα.gr"),
+        (2, "DE89370400440532013000 GB29 NWBK 6016 1331 9268 19 DE12370400440532013000"),
+        (3, "+49 30 123 4567, +358 40 123 4567"),
+        (4, "version 10.2.3.4 and v1.2.3.4 stay, 300.1.2.3 too; 10.2.3.4 goes"),
+    ]
+    t = {k: r.text for k, r in run(spark, rows).items()}
+    assert re.fullmatch(r"[а-я]{4}@[а-я]{5}\.рф and [α-ωά-ώ]{5}@[α-ω]{6}\.gr", t[1]) and "почта" not in t[1]
+    one, two, wrong = re.fullmatch(r"(DE\d{20}) (GB\d\d [A-Z]{4} \d{4} \d{4} \d{4} \d\d) (DE\d{20})", t[2]).groups()
+    assert mod97(one) == mod97(two) == 1 and "370400440532013000" not in t[2] and one[4:] != wrong[4:]
+    assert re.fullmatch(r"\+49 \d\d \d{3} \d{4}, \+358 \d\d \d{3} \d{4}", t[3]) and "123 4567" not in t[3]
+    assert re.fullmatch(r"version 10\.2\.3\.4 and v1\.2\.3\.4 stay, 300\.1\.2\.3 too; 10\.\d+\.\d+\.\d+ goes", t[4]) and not t[4].endswith("10.2.3.4 goes")
+
+
+def test_one_person_whatever_the_title(spark):
+    rows = [(1, "Dr Anna Weber came. Anna Weber sang; Anna Webers Lied, Annabel Weber."), (2, "Frau Anna Weber left."), (3, "Dr Kim Lee, Herr Kim Lee, Frau Kim Lee.")]
+    t = {k: r.text for k, r in run(spark, rows).items()}
+    name = re.fullmatch(r"Frau (\w+ \w+) left\.", t[2])[1]
+    assert t[1] == f"Dr {name} came. {name} sang; Anna Webers Lied, Annabel Weber." and name.split()[0] in surrogates.GIVEN["latin", "f"]
+    man, woman = re.search(r"Herr (\w+) \w+, Frau (\w+) \w+\.", t[3]).groups()
+    assert man in surrogates.GIVEN["latin", "m"] and woman in surrogates.GIVEN["latin", "f"]
+
+
+def test_formats_that_run_out_grow(spark):
+    """More addresses of one digit and letter than there are; all stay distinct, and the job ends."""
+    rows = [(k, f"mail {c}@x.example.com now") for k, c in enumerate("abcdefghijklmnopqrstuvwxyz")]
+    t = {k: r.text for k, r in run(spark, rows).items()}
+    made = [re.fullmatch(r"mail (\S+)@\S+ now", x)[1] for x in t.values()]
+    assert len(set(made)) == 26 and all(len(x) == 1 or re.fullmatch(r"\w-\d{11}", x) for x in made)
+
+
+def test_against_a_plain_form(spark):
+    """Emails of a random corpus, one by one in plain Python: equal texts get equal ones, others others, all else stays."""
+    import random
+
+    rng = random.Random(6)
+    mails = [f"{rng.choice('abc')}{k}.{rng.choice('xyz')}@d{k % 4}.example.org" for k in range(30)]
+    rows = [(k, "".join(f"word{j} {rng.choice(mails)}, " for j in range(rng.randint(0, 5)))) for k in range(60)]
+    got, seen = run(spark, rows), {}
+    for k, text in rows:
+        old, new = re.split(r"(\S+@\S+\w)", text), re.split(r"(\S+@\S+\w)", got[k].text)
+        assert old[::2] == new[::2] and len(old) == len(new) and got[k]["_n_entities"] == len(old) // 2
+        for a, b in zip(old[1::2], new[1::2], strict=True):
+            assert seen.setdefault(a, b) == b and [re.sub("[a-z]", "a", re.sub(r"\d", "1", x.split("@")[0])) for x in (a, b)][0] == re.sub("[a-z]", "a", re.sub(r"\d", "1", b.split("@")[0]))
+    assert len(set(seen.values())) == len(seen) and not set(seen) & set(seen.values())
