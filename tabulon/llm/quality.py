@@ -18,7 +18,7 @@ BLANKS = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 ENDINGS = "[.!?:;…\"'”’»)\\]][\\x20\\x09-\\x0D]*$"
 NAVIGATION = "(?:[|›»•·>][^|›»•·>]*){3}"
-#: Phrases of notices, in lower case.
+#: Phrases of notices in four languages, in lower case.
 BOILERPLATE = (
     "accept cookies",
     "use cookies",
@@ -38,6 +38,21 @@ BOILERPLATE = (
     "share this",
     "log in",
     "sign in",
+    "tous droits réservés",
+    "politique de confidentialité",
+    "mentions légales",
+    "accepter les cookies",
+    "lire la suite",
+    "alle rechte vorbehalten",
+    "datenschutzerklärung",
+    "nutzungsbedingungen",
+    "cookies akzeptieren",
+    "nach oben",
+    "todos los derechos reservados",
+    "política de privacidad",
+    "aviso legal",
+    "aceptar cookies",
+    "leer más",
 )
 
 
@@ -91,11 +106,15 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
 def line_fails(line: Column) -> Column:
     """No closing punctuation, three separators of navigation, symbols or exclamation marks at many words, or a phrase of boilerplate."""
     n = F.size(words_of(line))
-    low = F.lower(line)
-    phrase = F.lit(False)
-    for p in BOILERPLATE:
-        phrase = phrase | F.contains(low, F.lit(p))
-    return ~F.rlike(line, F.lit(ENDINGS)) | F.rlike(line, F.lit(NAVIGATION)) | (5 * count_symbols(line) > n) | (2 * F.char_length(F.regexp_replace(line, "[^!]+", "")) > n) | phrase
+
+    def phrase(low: Column) -> Column:
+        out = F.contains(low, F.lit(BOILERPLATE[0]))
+        for p in BOILERPLATE[1:]:
+            out = out | F.contains(low, F.lit(p))
+        return out
+
+    many = _bind(n, lambda k: (5 * count_symbols(line) > k) | (2 * F.char_length(F.regexp_replace(line, "[^!]+", "")) > k))
+    return ~F.rlike(line, F.lit(ENDINGS)) | F.rlike(line, F.lit(NAVIGATION)) | _bind(F.lower(line), phrase) | many
 
 
 def clean_lines(df: DataFrame, text_col: str = "text", max_lost_percent: int = MAX_LOST_PERCENT, with_text: bool = True) -> DataFrame:
@@ -111,7 +130,13 @@ def clean_lines(df: DataFrame, text_col: str = "text", max_lost_percent: int = M
     names = {}
     for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lost_chars", "kept", "clean_text"):
         names[n] = fresh([*cols, *names.values()], n)
-    lost = F.aggregate(F.filter(worded_lines(t), line_fails), F.lit(0).cast("long"), lambda a, x: a + word_chars(x))
+    # each line is judged once
+    judged = F.transform(F.split(t, "\n", -1), lambda x: _bind(word_chars(x), lambda n: F.struct(x.alias("line"), n.alias("n"), ((n > 0) & line_fails(x)).alias("bad"))))
+
+    def cleaned(lines: Column) -> Column:
+        lost = F.aggregate(lines, F.lit(0).cast("long"), lambda a, x: a + F.when(x["bad"], x["n"]).otherwise(0)).alias("lost")
+        return F.struct(lost, *([F.array_join(F.transform(F.filter(lines, lambda x: ~x["bad"]), lambda x: x["line"]), "\n").alias("text")] if with_text else []))
+
     # the array of words is used twice, in one bound expression
     both = _bind(words_of(t), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).alias("r")))
     out = df.select(
@@ -120,9 +145,9 @@ def clean_lines(df: DataFrame, text_col: str = "text", max_lost_percent: int = M
         word_chars(t).alias(names["word_chars"]),
         count_symbols(t).alias(names["n_symbols"]),
         _bind(worded_lines(t), lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias(names["n_dup_lines"]),
-        lost.alias(names["lost_chars"]),
-        *([F.array_join(F.filter(F.split(t, "\n", -1), lambda x: (F.octet_length(_without_blanks(x)) == 0) | ~line_fails(x)), "\n").alias(names["clean_text"])] if with_text else []),
+        _bind(judged, cleaned).alias(left := fresh([*cols, *names.values(), pair], "left")),
     )
+    out = out.withColumns({names["lost_chars"]: quoted(left)["lost"], **({names["clean_text"]: quoted(left)["text"]} if with_text else {})})
     n, r = quoted(pair)["n"], quoted(pair)["r"]
     failed = (n < MIN_WORDS) | (100 * r > MAX_REPEAT_PERCENT * n)
     fine = 100 * quoted(names["lost_chars"]) <= max_lost_percent * quoted(names["word_chars"])

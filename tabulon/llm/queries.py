@@ -94,8 +94,8 @@ FROM p JOIN firsts USING (hex) JOIN codes USING (hex)""",
 
 
 def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = clean_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False)
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    out = clean_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.sha2("clean_text", 256).alias("clean_sha256"))
 
 
 QUERIES["op5_line_quality"] = op5_line_quality
@@ -110,17 +110,19 @@ _FAILS = " OR ".join(
 )
 ORACLE["op5_line_quality"] = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
-lines AS (SELECT doc_id, line FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
-per AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines,
-  coalesce(sum(length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g'))) FILTER (WHERE {_FAILS}), 0) AS lost FROM lines GROUP BY doc_id),
+raw AS (SELECT doc_id, unnest(s) AS line, generate_subscripts(s, 1) AS k FROM (SELECT doc_id, string_split(t, chr(10)) AS s FROM d)),
+lines AS (SELECT doc_id, k, line, regexp_matches(line, '[^\x20\x09-\x0D]') AS worded, regexp_matches(line, '[^\x20\x09-\x0D]') AND ({_FAILS}) AS bad FROM raw),
+per AS (SELECT doc_id, count(*) FILTER (WHERE worded) - count(DISTINCT line) FILTER (WHERE worded) AS n_dup_lines,
+  coalesce(sum(length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g'))) FILTER (WHERE bad), 0) AS lost,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE NOT bad), '')) AS clean_sha256 FROM lines GROUP BY doc_id),
 wins AS (SELECT doc_id, pos, array_to_string(list_slice(w, pos, pos + 4), ' ') AS win FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 4)) AS pos FROM d WHERE len(w) >= 5)),
 again AS (SELECT doc_id, pos FROM (SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, win) AS n FROM wins) WHERE n > 1),
 covered AS (SELECT doc_id, count(DISTINCT pos + j) AS n_repeat_words FROM (SELECT doc_id, pos, unnest(range(5)) AS j FROM again) GROUP BY doc_id),
 base AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
   length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
-  coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(lost, 0)::BIGINT AS lost FROM d LEFT JOIN per USING (doc_id) LEFT JOIN covered USING (doc_id))
+  coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(lost, 0)::BIGINT AS lost, clean_sha256 FROM d LEFT JOIN per USING (doc_id) LEFT JOIN covered USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
-  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 100 * lost <= 50 * word_chars AS kept FROM base"""
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 100 * lost <= 50 * word_chars AS kept, clean_sha256 FROM base"""
 
 
 def usable_labels():
