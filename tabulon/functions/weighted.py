@@ -51,6 +51,29 @@ def grouped_weighted_quantiles(rows: DataFrame, keys: list[str], value: str, wei
     return both.groupBy(*keys).agg(*(F.coalesce(F.max(F.when(F.col("_run") <= q * F.col("_total"), F.col("_v"))), F.min("_v")).alias(f"q_{k}") for k, q in enumerate(qs)))
 
 
+def grouped_quantiles(rows: DataFrame, keys: list[str], value: str, qs: list[float], buckets: int = BUCKETS) -> DataFrame:
+    """keys, q_0, q_1, ... for each group of plain key columns (nulls are a group): linear interpolation between the two nearest ranks.
+
+    Equal values are counted first and ranks are running counts in two levels, so no task holds the values of a group.
+    """
+    one = rows.filter(col(value).isNotNull()).groupBy(*keys, col(value).cast("double").alias("_v")).agg(F.count("*").cast("double").alias("_w"))
+    ranked = running_sum_before(one, keys, "_v", "_w", buckets)
+
+    def at(rank):
+        return F.max(F.when(F.col("_before") <= rank, F.col("_v")))
+
+    def between(q: float):
+        place = F.lit(float(q)) * (F.col("_total") - 1)
+        return F.struct(F.max(place).alias("p"), at(F.floor(place)).alias("lo"), at(F.ceil(place)).alias("hi"))
+
+    both = ranked.groupBy(*keys).agg(*(between(q).alias(f"_s{k}") for k, q in enumerate(qs)))
+
+    def joined(x):
+        return F.when(x["lo"] == x["hi"], x["lo"]).otherwise((F.ceil(x["p"]) - x["p"]) * x["lo"] + (x["p"] - F.floor(x["p"])) * x["hi"])
+
+    return both.select(*keys, *(joined(F.col(f"_s{k}")).alias(f"q_{k}") for k in range(len(qs))))
+
+
 def weighted_quantile(df: DataFrame, variables: list[str], weights: str | None = None, q: float | list[float] = 0.5) -> DataFrame:
     """One row per variable: variable, and a column per quantile (quantile, or q0.25, q0.5, ...). Without weights: linear interpolation."""
     qs = list(q) if isinstance(q, (list, tuple)) else [q]
@@ -59,7 +82,8 @@ def weighted_quantile(df: DataFrame, variables: list[str], weights: str | None =
     pairs = F.array(*(F.struct(F.lit(v).alias("variable"), col(v).cast("double").alias("value")) for v in variables))
     long = df.select(F.explode(pairs).alias("p"), (col(weights).cast("double") if weights else F.lit(1.0)).alias("weight")).select("p.variable", "p.value", "weight")
     if weights is None:
-        return long.groupBy("variable").agg(*(F.percentile("value", x).alias(n) for x, n in zip(qs, names, strict=True)))
+        out = grouped_quantiles(long, ["variable"], "value", qs)
+        return out.select("variable", *(F.col(f"q_{k}").alias(n) for k, n in enumerate(names)))
     out = grouped_weighted_quantiles(long, ["variable"], "value", "weight", qs)
     return out.select("variable", *(F.col(f"q_{k}").alias(n) for k, n in enumerate(names)))
 

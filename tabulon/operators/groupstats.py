@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import TOTAL, all_of, col, drop_missing, nan_to_null, require, truthy
-from ..functions.weighted import grouped_weighted_quantiles
+from ..functions.weighted import grouped_quantiles, grouped_weighted_quantiles
 
 PLAIN = ("sum", "mean", "median", "nunique", "count", "any", "all", "majority", "count_effectif", "max_sum_effectif")
 WITH_PARAMETERS = {"quantile": ("q",), "prop": ("var_ref",), "inf_threshold": ("var_threshold", "threshold")}
@@ -75,7 +75,7 @@ class StatDesGroupBy:
         return F.try_divide(top.cast("double"), bottom.cast("double"))
 
     def _compile(self, ops: list[Op]) -> tuple[list[tuple[str, Column]], dict[str, list[tuple[str, float]]], list[tuple[str, str]]]:
-        """(plain aggregates, weighted quantiles by variable, weighted majorities), each with its output name, in the order of output."""
+        """(plain aggregates, quantiles by variable, majorities), each with its output name, in the order of output."""
         plain, quantiles, majorities, order = [], {}, [], []
         w = self.weights
 
@@ -101,9 +101,7 @@ class StatDesGroupBy:
                 elif op.name in ("median", "quantile"):
                     q = 0.5 if op.name == "median" else op["q"]
                     name = f"{v}_q{q}"
-                    if not w:
-                        add(name, F.percentile(c, q))
-                    elif name not in order:
+                    if name not in order:
                         order.append(name)
                         quantiles.setdefault(v, []).append((name, q))
                 elif op.name == "nunique":
@@ -120,9 +118,7 @@ class StatDesGroupBy:
                     add(f"{v}_{r}_prop", self._share(F.sum(self._weighted(v)), F.sum(self._weighted(r))))
                 elif op.name == "majority":
                     name = f"{v}_majority"
-                    if not w:
-                        add(name, F.mode(c, True))
-                    elif name not in order:
+                    if name not in order:
                         order.append(name)
                         majorities.append((name, v))
                 elif op.name == "inf_threshold":
@@ -171,10 +167,11 @@ class StatDesGroupBy:
             # these need rows by value inside each grouping set: one copy of a row per set
             copies = F.array(*(F.struct(F.lit(gid[s]).alias("_g"), *((F.col(k) if stays else F.lit(None).cast(rows.schema[k].dataType)).alias(k) for k, stays in zip(keys, s, strict=True))) for s in sets))
             used = {v: f"_v{i}" for i, v in enumerate([*quantiles, *(v for _, v in majorities)])}
-            expanded = rows.select(F.explode(copies).alias("_s"), *(col(v).alias(a) for v, a in used.items()), col(self.weights).cast("double").alias("_w")).select("_s.*", *used.values(), "_w")
+            expanded = rows.select(F.explode(copies).alias("_s"), *(col(v).alias(a) for v, a in used.items()), (col(self.weights).cast("double") if self.weights else F.lit(1.0)).alias("_w")).select("_s.*", *used.values(), "_w")
         at = ["_g", *keys]
         for v, asked in quantiles.items():
-            part = grouped_weighted_quantiles(expanded, at, used[v], "_w", [q for _, q in asked])
+            qs = [q for _, q in asked]
+            part = grouped_weighted_quantiles(expanded, at, used[v], "_w", qs) if self.weights else grouped_quantiles(expanded, at, used[v], qs)
             out = self._join(out, part, at, {f"_a{order.index(n)}": f"q_{i}" for i, (n, _) in enumerate(asked)})
             names |= {n: f"_a{order.index(n)}" for n, _ in asked}
         for n, v in majorities:

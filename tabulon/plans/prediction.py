@@ -24,12 +24,15 @@ def _uniform(*parts) -> Column:
 
 
 def poisson_weight(rate: float, *parts: Column) -> Column:
-    """A Poisson number from a hash: how often a bootstrap draw takes the row."""
-    u, out, p, total = _uniform(*parts), F.lit(0), math.exp(-rate), 0.0
-    for n in range(12):
+    """A Poisson number from a hash: how often a bootstrap draw takes the row. The numbers end where the next has a probability under 2 ** -40, the step of the hash."""
+    if not 0 < rate <= 100:
+        raise ValueError("a row's mean number of draws must be over 0 and at most 100")
+    u, out, p, total, n = _uniform(*parts), F.lit(0), math.exp(-rate), 0.0, 0
+    while n <= rate or p > 2.0**-41:
         total += p
         out = out + (u > total).cast("int")
-        p *= rate / (n + 1)
+        n += 1
+        p *= rate / n
     return out
 
 
@@ -65,6 +68,7 @@ def crossval_predict(
             return _refits(estimator, rows, features, target, id_col, method, sample_weight, n_iterations_boostrap, bootstrap_size, alpha, seed)
         return _refits(estimator, rows, features, target, id_col, method, sample_weight, 0, 1.0, 0.95, seed)
     w = col(sample_weight).cast("double") if sample_weight else F.lit(1.0)
+    own = list(map(col, [id_col, *features, target]))  # the id may repeat
     k = len(features)
     sums = {f[0]: m for f, m in _grouped_fits(rows, features, target, ["_fold"], w).items()}
     whole = sum(sums.values())
@@ -80,7 +84,7 @@ def crossval_predict(
     out = [col(id_col), F.col("_fold").alias("fold"), dot(betas({f: whole - m for f, m in sums.items()})[F.col("_fold")]).alias("prediction")]
     if compute_confidence_interval:
         draws = rows.withColumn("_draw", F.explode(F.sequence(F.lit(0), F.lit(n_iterations_boostrap - 1))))
-        drawn = _grouped_fits(draws, features, target, ["_fold", "_draw"], w * poisson_weight(bootstrap_size, col(id_col), F.col("_draw"), F.lit(seed)))
+        drawn = _grouped_fits(draws, features, target, ["_fold", "_draw"], w * poisson_weight(bootstrap_size, *own, F.col("_draw"), F.lit(seed)))
         folds, all_ = sorted(sums), {}
         for d in range(n_iterations_boostrap):
             parts = {f: drawn.get((f, d), np.zeros((k + 1, k + 1))) for f in folds}
@@ -123,7 +127,7 @@ def _refits(estimator, rows, features, target, id_col, method, sample_weight, n_
         out = [col(id_col), F.col("_fold").alias("fold"), column(model).alias("prediction")]
         if n_boot:
             w = col(sample_weight).cast("double") if sample_weight else F.lit(1.0)
-            draws = [column(fitted(train.withColumn("_bw", w * poisson_weight(size, col(id_col), F.lit(d), F.lit(seed))).filter("_bw > 0"), "_bw")) for d in range(n_boot)]
+            draws = [column(fitted(train.withColumn("_bw", w * poisson_weight(size, *map(col, [id_col, *features, target]), F.lit(d), F.lit(seed))).filter("_bw > 0"), "_bw")) for d in range(n_boot)]
             spread = F.array_sort(F.array(*draws))
             out += [_at(spread, (1 - alpha) / 2, n_boot).alias("lower"), _at(spread, (1 + alpha) / 2, n_boot).alias("upper")]
         parts.append(test.select(*out))
