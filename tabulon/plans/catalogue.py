@@ -16,6 +16,7 @@ from ..operators.regressors import LeastSquaresEstimator, OaxacaBlinder, PanelLe
 from ..operators.tables import convert_pvalues_to_stars, count_effectif_modalite, divide_by_total, nest_groupby, sort_with_total, suppress_small
 from ..operators.transformers import AddConstante, AddFixedEffect, AddInteraction, ClusteringTransformer, LogTransformer, OneHotEncoder, StandardScalerTransformer
 from ..streaming.windows import windowed_statistics
+from . import estimator_sql
 from .inference import estimate_summarize
 from .prediction import crossval_predict
 
@@ -403,10 +404,10 @@ def wls_two_regressors(spark, sf_dir):
     return rounded(e.summary().select("variable", "Coefficients"), 4)
 
 
-@query()
+@query(estimator_sql.ols_summary())
 def ols_summary(spark, sf_dir):
-    """With t-probabilities and intervals; the tests hold them against closed forms."""
-    return LeastSquaresEstimator().fit(_numbered(spark, sf_dir), ["Constante", "l_quantity", "l_tax"], "l_extendedprice").summary()
+    """With t-probabilities and intervals."""
+    return rounded(LeastSquaresEstimator().fit(_numbered(spark, sf_dir), ["Constante", "l_quantity", "l_tax"], "l_extendedprice").summary(), 4)
 
 
 @query("""SELECT 'Constante' AS variable, round(regr_intercept(y, x), 4) AS "Coefficients" FROM d UNION ALL SELECT 'l_quantity', round(regr_slope(y, x), 4) FROM d""".replace(" FROM d", " FROM (SELECT l_extendedprice AS y, ln(l_quantity) AS x FROM lineitem WHERE l_discount > 0.02)"))
@@ -435,11 +436,11 @@ def panel_within(spark, sf_dir):
     return rounded(e.summary().select("variable", "Coefficients"))
 
 
-@query()
+@query(estimator_sql.panel_two_way())
 def panel_two_way(spark, sf_dir):
     """Both effects on an unbalanced panel, with the five kinds of R2."""
     df = orders(spark, sf_dir).withColumn("m", F.month("o_orderdate"))
-    return PanelLeastSquaresEstimator(True, True).fit(df, ["m"], "o_totalprice", "o_custkey", "o_year").rsquared()
+    return rounded(PanelLeastSquaresEstimator(True, True).fit(df, ["m"], "o_totalprice", "o_custkey", "o_year").rsquared())
 
 
 def _quality(spark, sf_dir):
@@ -447,24 +448,24 @@ def _quality(spark, sf_dir):
     return t(spark, sf_dir, "labels").join(docs, "doc_id").withColumn("Constante", F.lit(1))
 
 
-@query()
+@query(estimator_sql.LOGIT)
 def logit(spark, sf_dir):
-    return LogitClassifier().fit(_quality(spark, sf_dir), ["Constante", "size", "en"], "quality").summary()
+    return rounded(LogitClassifier().fit(_quality(spark, sf_dir), ["Constante", "size", "en"], "quality").summary())
 
 
-@query()
+@query(estimator_sql.PROBIT)
 def probit(spark, sf_dir):
-    return ProbitClassifier().fit(_quality(spark, sf_dir), ["Constante", "size", "en"], "quality").summary()
+    return rounded(ProbitClassifier().fit(_quality(spark, sf_dir), ["Constante", "size", "en"], "quality").summary())
 
 
-@query()
+@query(estimator_sql.logit_l1(5.0))
 def logit_l1(spark, sf_dir):
-    return LogitClassifier(regularized=True, alpha=5.0).fit(_quality(spark, sf_dir), ["Constante", "size", "en"], "quality").summary()
+    return rounded(LogitClassifier(regularized=True, alpha=5.0).fit(_quality(spark, sf_dir), ["Constante", "size", "en"], "quality").summary())
 
 
-@query()
+@query(estimator_sql.logit_margeff())
 def margeff(spark, sf_dir):
-    return LogitClassifier().fit(_quality(spark, sf_dir), ["Constante", "size", "en"], "quality").margeff()
+    return rounded(LogitClassifier().fit(_quality(spark, sf_dir), ["Constante", "size", "en"], "quality").margeff())
 
 
 @query("""WITH f AS (SELECT *, l_orderkey % 5 AS fold FROM lineitem), b AS (SELECT k.fold, regr_slope(l_extendedprice, l_quantity) AS s, regr_intercept(l_extendedprice, l_quantity) AS i FROM f, (SELECT DISTINCT fold FROM f) k WHERE f.fold <> k.fold GROUP BY k.fold)
