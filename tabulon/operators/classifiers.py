@@ -41,6 +41,17 @@ class _Classifier:
         rows = drop_missing(nan_to_null(df), [*features, target, *([sample_weight] if sample_weight else [])])
         columns = [*map(col, features), col(target).cast("double"), col(sample_weight) if sample_weight else F.lit(1.0)]
         k = len(features)
+        # each step reads the rows anew: keep the few columns that it needs; a lost part is made again
+        held = rows.select(*(c.cast("double").alias(f"_{i}") for i, c in enumerate(columns))).persist()
+        try:
+            self._steps(held, k)
+        finally:
+            held.unpersist()
+        self.mean_rows = rows
+        return self
+
+    def _steps(self, held: DataFrame, k: int) -> None:
+        columns = [F.col(c) for c in held.columns]
         terms = self._terms
         beta = np.zeros(k)
         self.converged, last, step = False, None, None
@@ -51,7 +62,7 @@ class _Classifier:
                 ll, g, h = terms(x @ b, y)
                 return np.r_[(w * ll).sum(), x.T @ (w * g), ((x * (w * h)[:, None]).T @ x).ravel()]
 
-            got = partial_sums(rows, columns, sums).get(())
+            got = partial_sums(held, columns, sums).get(())
             if got is None:
                 raise ValueError("no rows to fit on")
             value, g, h = got[0], got[1 : k + 1], got[k + 1 :].reshape(k, k)
@@ -75,8 +86,6 @@ class _Classifier:
             beta = np.where(np.abs(beta) < self.size_trim_tol, 0.0, beta)
         self.coefficients = dict(zip(self.features, map(float, beta), strict=True))
         self.covariance = solve(self.information, np.zeros(k))[1]
-        self.mean_rows = rows
-        return self
 
     def _lasso(self, h, g, beta):
         """Minimum of the quadratic model with the penalty, by coordinates."""

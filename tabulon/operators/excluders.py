@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import all_of, any_of, col, drop_missing, nan_to_null, require
+from ..functions.weighted import weighted_quantile
 
 
 class Excluder(Protocol):
@@ -77,18 +78,21 @@ class QuantileExcluder(_Fitted):
     def transform(self, df: DataFrame) -> DataFrame:
         require(df, [c["variable"] for c in self.list_criteria])
         df = nan_to_null(df)
-        cuts, low, high = [], [], []
+        wanted, low, high = [], [], []
         for i, c in enumerate(self.list_criteria):
             v, t = c["variable"], c["threshold"]
             if c["side"] in ("left", "both"):
-                cuts.append(F.percentile(col(v), t).alias(f"_l{i}"))
+                wanted.append((v, t, f"_l{i}"))
                 low.append((v, f"_l{i}"))
             if c["side"] in ("right", "both"):
-                cuts.append(F.percentile(col(v), 1 - t).alias(f"_r{i}"))
+                wanted.append((v, 1 - t, f"_r{i}"))
                 high.append((v, f"_r{i}"))
-        if not cuts:
+        if not wanted:
             return df
-        both = df.crossJoin(F.broadcast(df.agg(*cuts)))  # one row
+        names, qs = sorted({v for v, _, _ in wanted}), sorted({q for _, q, _ in wanted})
+        found = weighted_quantile(df, names, q=qs)
+        cuts = found.agg(*(F.max(F.when(F.col("variable") == v, F.col(f"`q{q}`"))).alias(name) for v, q, name in wanted))
+        both = df.crossJoin(F.broadcast(cuts))  # one row
         if self.drop:
             inside = [*(col(v) > F.col(q) for v, q in low), *(col(v) < F.col(q) for v, q in high)]
             return both.filter(all_of(inside)).select(*map(col, df.columns))
@@ -101,8 +105,8 @@ class QuantileExcluder(_Fitted):
 class ForestOutliersIsolation(_Fitted):
     """Drops rows that an isolation forest takes for outliers (score over 0.5).
 
-    Each tree is grown on the driver from its own few rows (max_samples at most) of a bounded seeded sample; all trees together are
-    a few hundred small arrays, which every task gets. Scoring is one pass over batches. Rows with nulls have no score and stay.
+    Each tree is grown on the driver from its own few rows (max_samples at most) of a seeded sample of
+    n_estimators * max_samples rows on average, in which each row has the same chance, equal rows too; all trees together are a few hundred small arrays, which every task gets. Scoring is one pass over batches. Rows with nulls have no score and stay.
     """
 
     def __init__(self, n_estimators: int = 100, random_state: int = 42, max_samples: int = 256, columns: list[str] | None = None):
@@ -118,10 +122,9 @@ class ForestOutliersIsolation(_Fitted):
         rows = drop_missing(nan_to_null(df.select(*map(col, self.used))))
         want = self.n_estimators * self.max_samples
         n = rows.count()
-        key = F.xxhash64(*map(col, self.used), F.lit(self.random_state))
-        part = max(1, n // (2 * want))
-        picked = rows.filter(F.pmod(key, F.lit(part)) == 0) if part > 1 else rows
-        data = np.array([[float(x) for x in r] for r in picked.orderBy(key, *map(col, self.used)).limit(want).collect()])
+        picked = rows.sample(want / n, self.random_state) if n > want else rows
+        found = [tuple(map(float, r)) for r in picked.collect()]
+        data = np.array(sorted(found))
         rng = np.random.default_rng(self.random_state)
         pyrng = random.Random(self.random_state)
         self.size = min(self.max_samples, len(data))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import FrozenDict, col, split_dummy_column
+from ..functions.lineage import shared_dir
 from ..functions.weighted import assign_quantile, create_pond_data, weighted_quantile, weighted_std
 from ..operators.classifiers import LogitClassifier, ProbitClassifier
 from ..operators.excluders import ColumnExcluder, ForestOutliersIsolation, QuantileExcluder, ThresholdExcluder
@@ -15,6 +17,7 @@ from ..operators.groupstats import StatDesGroupBy
 from ..operators.regressors import LeastSquaresEstimator, OaxacaBlinder, PanelLeastSquaresEstimator
 from ..operators.tables import convert_pvalues_to_stars, count_effectif_modalite, divide_by_total, nest_groupby, sort_with_total, suppress_small
 from ..operators.transformers import AddConstante, AddFixedEffect, AddInteraction, ClusteringTransformer, LogTransformer, OneHotEncoder, StandardScalerTransformer
+from ..sources.store import load, save
 from ..streaming.windows import windowed_statistics
 from . import estimator_sql
 from .inference import estimate_summarize
@@ -318,6 +321,34 @@ def isolation_forest(spark, sf_dir):
     return ForestOutliersIsolation(columns=["p_size", "p_retailprice"]).fit_transform(df)
 
 
+# files
+
+_PART = "SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM part"
+
+
+def _through(spark, sf_dir, ext: str) -> DataFrame:
+    """part, written as ext to the shared folder and read again, in its own types."""
+    part = t(spark, sf_dir, "part")
+    path = f"{shared_dir(spark)}/part-{uuid.uuid4().hex}.{ext}"
+    save(part, path)
+    return load(spark, path).select(*(F.col(n).cast(kind).alias(n) for n, kind in part.dtypes))
+
+
+@query(_PART)
+def save_load_csv(spark, sf_dir):
+    return _through(spark, sf_dir, "csv")
+
+
+@query(_PART)
+def save_load_json(spark, sf_dir):
+    return _through(spark, sf_dir, "json")
+
+
+@query(_PART)
+def save_load_parquet(spark, sf_dir):
+    return _through(spark, sf_dir, "parquet")
+
+
 # transformers
 
 _SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import json
 import logging
 import os
@@ -14,6 +15,7 @@ from ..functions.columns import col
 READS = ("csv", "json", "parquet", "xlsx", "xls", "geojson")
 WRITES = ("csv", "json", "parquet", "xlsx", "xls", "geojson")
 SHEET_NAME = 31  # characters that a sheet's name may have
+SHEET_ROWS = 1_048_575  # rows that a sheet can hold under its header
 PACKAGES = ("boto3", "s3fs")
 
 
@@ -25,9 +27,10 @@ def extension(path: str, known: tuple[str, ...]) -> str:
     return ext
 
 
-def s3_options(package: str = "boto3", endpoint: str | None = None, access_key: str | None = None, secret_key: str | None = None, token: str | None = None, verify: bool = True) -> dict[str, str]:
+def s3_options(package: str = "boto3", endpoint: str | None = None, access_key: str | None = None, secret_key: str | None = None, token: str | None = None, verify: bool | str = True) -> dict[str, str]:
     """Spark settings for an object store, from arguments or AWS_S3_ENDPOINT, AWS_ACCESS_KEY_ID, AWS_SECRET_ACCESS_KEY and AWS_SESSION_TOKEN.
-    Certificates are checked unless verify is false."""
+    Certificates are always checked: the store's client has no switch for that, so verify=False only warns. Put a private authority into a trust store and
+    name its file as verify; that sets options of the JVMs, which must be there before the session starts."""
     if package not in PACKAGES:
         raise ValueError(f"package must be one of {list(PACKAGES)}")
     told = {
@@ -42,8 +45,10 @@ def s3_options(package: str = "boto3", endpoint: str | None = None, access_key:
     if told["endpoint"]:
         out["spark.hadoop.fs.s3a.path.style.access"] = "true"
     out["spark.hadoop.fs.s3a.connection.ssl.enabled"] = "true" if not (told["endpoint"] or "").startswith("http://") else "false"
-    if not verify:
-        out["spark.hadoop.fs.s3a.ssl.channel.mode"] = "default_jsse"
+    if isinstance(verify, str):
+        out |= {f"spark.{who}.extraJavaOptions": f"-Djavax.net.ssl.trustStore={verify}" for who in ("driver", "executor")}
+    elif not verify:
+        logging.getLogger(__name__).warning("certificates are checked all the same; name a trust store as verify")
     return out
 
 
@@ -57,7 +62,8 @@ class _Store:
         """Put the settings of the store into the running session."""
         conf = spark.sparkContext._jsc.hadoopConfiguration()
         for k, v in s3_options(self.package, **kwargs).items():
-            conf.set(k.removeprefix("spark.hadoop."), v)
+            if k.startswith("spark.hadoop."):
+                conf.set(k.removeprefix("spark.hadoop."), v)
         self.connected = True
         return self
 
@@ -77,21 +83,34 @@ class S3Saver(_Store):
 
 
 def load(spark: SparkSession, path: str, **options) -> DataFrame:
-    """A table from csv, json, parquet, geojson (a row per feature: geometry and properties as JSON text) or a spreadsheet."""
+    """A table from csv, json (a record a line, or whole files), parquet, geojson (a row per feature: geometry and properties as JSON text) or a spreadsheet."""
     ext = extension(path, READS)
     if ext == "parquet":
         return spark.read.options(**options).parquet(path)
     if ext == "csv":
         return spark.read.options(**({"header": True, "inferSchema": True} | options)).csv(path)
     if ext == "json":
-        return spark.read.options(**({"multiLine": True} | options)).json(path)
+        return spark.read.options(**({"multiLine": not _by_lines(spark, path)} | options)).json(path)
     if ext == "geojson":
         whole = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "struct<features: array<string>>")["features"]).alias("feature"))
         part = F.from_json("feature", "struct<geometry: string, properties: string>")
         return whole.select(part["geometry"].alias("geometry"), part["properties"].alias("properties"))
     import pandas as pd  # a spreadsheet fits on one machine
 
-    return spark.createDataFrame(pd.read_excel(path, engine="openpyxl" if ext == "xlsx" else "xlrd", **options))
+    content = spark.read.format("binaryFile").load(path).select("content").first()[0]
+    return spark.createDataFrame(pd.read_excel(io.BytesIO(content), engine="openpyxl" if ext == "xlsx" else "xlrd", **options))
+
+
+def _by_lines(spark: SparkSession, path: str) -> bool:
+    """Whether the first line with text is JSON by itself, as where each line is a record; else a whole file is one."""
+    first = spark.read.text(path).filter(F.trim("value") != "").first()
+    if first is None:
+        return True
+    try:
+        json.loads(first[0])
+    except ValueError:
+        return False
+    return True
 
 
 def save(obj: DataFrame | dict[str, DataFrame], path: str, mode: str = "overwrite", **options) -> None:
@@ -112,9 +131,25 @@ def save(obj: DataFrame | dict[str, DataFrame], path: str, mode: str = "overwrit
         import pandas as pd
 
         sheets = obj if isinstance(obj, dict) else {"Sheet1": obj}
-        with pd.ExcelWriter(path) as writer:
+        made = io.BytesIO()
+        with pd.ExcelWriter(made, engine="openpyxl") as writer:
             for name, df in sheets.items():
-                df.toPandas().to_excel(writer, sheet_name=name[:SHEET_NAME], **options)
+                rows = df.limit(SHEET_ROWS + 1).toPandas()
+                if len(rows) > SHEET_ROWS:
+                    raise ValueError(f"a sheet holds {SHEET_ROWS} rows, and {name} has more")
+                rows.to_excel(writer, sheet_name=name[:SHEET_NAME], **options)
+        write_bytes(next(iter(sheets.values())).sparkSession, path, made.getvalue())
+
+
+def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
+    """One file, on any file system that Spark reaches; what was there is replaced."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()
 
 
 def save_json(obj, path: str) -> None:

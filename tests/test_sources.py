@@ -3,7 +3,7 @@ import logging
 import pytest
 
 import __spark_entry__ as entry
-from tabulon.sources.store import S3Loader, extension, init_logger, load, s3_options, save
+from tabulon.sources.store import S3Loader, extension, init_logger, load, s3_options, save, write_bytes
 from tabulon.streaming.windows import windowed_statistics
 
 
@@ -12,8 +12,33 @@ def test_round_trip(spark, tmp_path, ext):
     df = spark.createDataFrame([(1, "a"), (2, "b,c")], "n int, `s.q0.5` string")
     path = str(tmp_path / f"t.{ext}")
     save(df, path)
-    options = {"multiLine": False} if ext == "json" else {}
-    assert sorted(tuple(r) for r in load(spark, path, **options).select("n", "`s.q0.5`").collect()) == [(1, "a"), (2, "b,c")]
+    assert sorted(tuple(r) for r in load(spark, path).select("n", "`s.q0.5`").collect()) == [(1, "a"), (2, "b,c")]
+
+
+def test_json_of_many_lines(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[\n {"n": 1},\n {"n": 2}\n]\n')
+    assert sorted(r.n for r in load(spark, str(tmp_path / "a.json")).collect()) == [1, 2]
+    (tmp_path / "b.json").write_text('[{"n": 1}, {"n": 2}]')
+    assert sorted(r.n for r in load(spark, str(tmp_path / "b.json")).collect()) == [1, 2]
+
+
+def test_bytes_through_the_file_system(spark, tmp_path):
+    path = tmp_path / "x.bin"
+    for content in (b"\x00\xffab", b""):
+        write_bytes(spark, f"file://{path}", content)
+        assert path.read_bytes() == content
+
+
+def test_spreadsheet(spark, tmp_path):
+    pytest.importorskip("openpyxl")
+    path = f"file://{tmp_path / 't.xlsx'}"
+    save({"one": spark.createDataFrame([(1, "a")], "n int, s string"), "two": spark.range(2)}, path, index=False)
+    assert [tuple(r) for r in load(spark, path).collect()] == [(1, "a")]
+
+
+def test_certificates_are_checked(caplog):
+    assert not any("ssl.channel" in k for k in s3_options(verify=False)) and "checked all the same" in caplog.text
+    assert s3_options(verify="/etc/trust.jks")["spark.executor.extraJavaOptions"].endswith("=/etc/trust.jks")
 
 
 def test_geojson(spark, tmp_path):

@@ -73,6 +73,14 @@ def test_columns_and_forest(spark):
     assert ForestOutliersIsolation().fit_transform(df.limit(0)).count() == 0
 
 
+def test_isolation_forest_on_a_sample_with_equal_rows(spark):
+    """More rows than the trees take, a third of them equal: that block neither fills the sample nor is it taken for outliers."""
+    df = spark.range(6000).selectExpr("CASE WHEN id % 3 = 0 THEN 5D ELSE (id * 7919 % 1000) / 100D END AS x", "CASE WHEN id % 3 = 0 THEN 5D ELSE (id * 104729 % 997) / 100D END AS y")
+    df = df.union(spark.createDataFrame([(100.0, 100.0)], "x double, y double"))
+    left = ForestOutliersIsolation(n_estimators=20, max_samples=64).fit_transform(df)
+    assert left.filter("x = 100").count() == 0 and left.filter("x = 5 and y = 5").count() >= 2000
+
+
 def test_one_hot_round_trip(spark):
     df = spark.createDataFrame([("red", 10), ("green", 20), ("blue", 30), (None, 1)], "color string, value int")
     enc = OneHotEncoder(["color"])
