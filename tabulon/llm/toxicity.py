@@ -192,7 +192,7 @@ class Network:
 class Scorer:
     """Scores of texts, with the gates' input parts of words already met."""
 
-    def __init__(self, net: Network, limit: int = 250_000):
+    def __init__(self, net: Network, limit: int = 120_000):
         self.net, self.limit = net, limit
         self._reset()
 
