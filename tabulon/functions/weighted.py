@@ -2,19 +2,25 @@
 
 The weighted quantile is a step function from below: of rows sorted by value and weight, the last value at which the running
 weight is at most q times the total, or the smallest value if there is none. Rows with a null value or weight don't count.
-Ties are aggregated first (a value qualifies if its own lightest row does), and the running sum is taken in
-two levels, over buckets and inside each, so that a group with very many values is no task of its own.
+Ties are aggregated first (a value qualifies if its own lightest row does). A histogram finds the narrow bucket of each answer and
+only rows in there are sorted, so that a group with very many values is neither copied nor a task of its own.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import sys
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .columns import col, nan_to_null
+from .columns import all_of, col, nan_to_null
+from .lineage import cut
 
 BUCKETS = 64
+#: Steps of a histogram per power of two; rows of a bucket that are sorted in one task; histograms at most; rows of bounds sent to all tasks.
+STEPS, SORTED_ROWS, ROUNDS, BROADCAST_ROWS = 1024, 1_000_000, 8, 200_000
 
 
 def _meet(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -43,35 +49,124 @@ def running_sum_before(rows: DataFrame, keys: list[str], order: str, value: str,
     return out.withColumn("_before", F.col("_start") + F.coalesce(F.sum(value).over(inside), F.lit(0.0))).drop("_b", "_start")
 
 
-def grouped_weighted_quantiles(rows: DataFrame, keys: list[str], value: str, weight: str, qs: list[float], buckets: int = BUCKETS) -> DataFrame:
-    """keys, q_0, q_1, ... for each group of plain key columns (nulls are a group)."""
-    rows = rows.filter(col(value).isNotNull() & col(weight).isNotNull())
-    one = rows.groupBy(*keys, col(value).cast("double").alias("_v")).agg(F.sum(weight).alias("_w"), F.min(weight).alias("_lo"))
-    both = running_sum_before(one, keys, "_v", "_w", buckets).withColumn("_run", F.col("_before") + F.col("_lo"))
-    return both.groupBy(*keys).agg(*(F.coalesce(F.max(F.when(F.col("_run") <= q * F.col("_total"), F.col("_v"))), F.min("_v")).alias(f"q_{k}") for k, q in enumerate(qs)))
+def expand(rows: DataFrame, keys: list[str], sets: dict[tuple[bool, ...], int]) -> DataFrame:
+    """A copy of each row per grouping set (a flag per key, True where it stays): its number as _g, and null for keys that don't stay."""
+    kinds = {k: rows.schema[k].dataType for k in keys}
+    copies = F.array(*(F.struct(F.lit(g).alias("_g"), *((F.col(k) if stays else F.lit(None).cast(kinds[k])).alias(k) for k, stays in zip(keys, s, strict=True))) for s, g in sets.items()))
+    others = [col(c) for c in rows.columns if c not in keys]
+    return rows.select(F.explode(copies).alias("_s"), *others).select("_s.*", *others)
 
 
-def grouped_quantiles(rows: DataFrame, keys: list[str], value: str, qs: list[float], buckets: int = BUCKETS) -> DataFrame:
-    """keys, q_0, q_1, ... for each group of plain key columns (nulls are a group): linear interpolation between the two nearest ranks.
+def _code(x: Column) -> Column:
+    """A whole number that never falls as x grows: the power of two under its size, and STEPS equal steps from there to the next."""
+    size = F.least(F.abs(x), F.lit(sys.float_info.max))
+    power = F.greatest(F.lit(-1022), F.least(F.lit(1023), F.floor(F.log2(size))))
+    code = (power + 1100) * STEPS + F.floor((size / F.pow(F.lit(2.0), power) - 1) * STEPS)
+    return F.when(x > 0, code).when(x < 0, -code).otherwise(F.lit(0).cast("long"))
+
+
+def _bucket() -> list[Column]:
+    return [F.sum("_w").alias("_w"), F.sum("_n").alias("_n"), F.min("_least").alias("_least"), F.min("_low").alias("_low"), F.max("_high").alias("_high")]
 
-    Equal values are counted first and ranks are running counts in two levels, so no task holds the values of a group.
-    """
-    one = rows.filter(col(value).isNotNull()).groupBy(*keys, col(value).cast("double").alias("_v")).agg(F.count("*").cast("double").alias("_w"))
-    ranked = running_sum_before(one, keys, "_v", "_w", buckets)
 
-    def at(rank):
-        return F.max(F.when(F.col("_before") <= rank, F.col("_v")))
+def _histogram(rows: DataFrame, at: list[str], x: Column) -> DataFrame:
+    """Per code of x: sum of weights, number of rows, the least weight, the smallest and the largest value."""
+    ones = rows.select(*at, x.alias("_code"), F.col("_v").alias("_low"), F.col("_v").alias("_high"), "_w", "_least", F.lit(1).alias("_n"))
+    return ones.groupBy(*at, "_code").agg(*_bucket())
 
-    def between(q: float):
-        place = F.lit(float(q)) * (F.col("_total") - 1)
-        return F.struct(F.max(place).alias("p"), at(F.floor(place)).alias("lo"), at(F.ceil(place)).alias("hi"))
 
-    both = ranked.groupBy(*keys).agg(*(between(q).alias(f"_s{k}") for k, q in enumerate(qs)))
+def _with_starts(buckets: DataFrame, at: list[str]) -> DataFrame:
+    """buckets with _start (weight of those before), _prev (largest value before), and of the whole: _first (smallest value), _total."""
+    whole = Window.partitionBy(*at) if at else Window.partitionBy(F.lit(0))
+    order = whole.orderBy("_code")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    return buckets.select("*", F.coalesce(F.sum("_w").over(before), F.lit(0.0)).alias("_start"), F.lag("_high").over(order).alias("_prev"), F.min("_low").over(whole).alias("_first"), F.sum("_w").over(whole).alias("_total"))
 
-    def joined(x):
-        return F.when(x["lo"] == x["hi"], x["lo"]).otherwise((F.ceil(x["p"]) - x["p"]) * x["lo"] + (x["p"] - F.floor(x["p"])) * x["hi"])
 
-    return both.select(*keys, *(joined(F.col(f"_s{k}")).alias(f"q_{k}") for k in range(len(qs))))
+def _last_bucket(buckets: DataFrame, at: list[str]) -> DataFrame:
+    """Per target, the last bucket that begins at or under it."""
+    take = ["_code", "_start", "_low", "_high", "_least", "_n", "_prev"]
+    top = buckets.groupBy(*at).agg(F.max(F.when(F.col("_start") <= F.col("_at"), F.struct(*take))).alias("_b"), *(F.first(c).alias(c) for c in ("_at", "_first", "_total")))
+    return top.select(*at, "_at", "_first", "_total", *(F.col(f"_b.{c}").alias(c) for c in take if c != "_code"))
+
+
+def _last_under(rows: DataFrame, keys: list[str], sets: dict[tuple[bool, ...], int], targets: list[Callable[[Column], Column]], fallback) -> DataFrame:
+    """_g, keys, _i (number of the target), _total, _found: for each group of the grouping sets the last _v at which the weight of smaller values plus
+    the least weight of its own rows (_least) is at most the target, a function of the group's total; else the smallest. None if a weight is negative.
+
+    A histogram by codes of the value gives the bucket of each answer; only rows inside these buckets are sorted. Buckets that still hold many
+    rows of several values are cut again by their values' distance from the smallest. No row is copied or shuffled before its bucket is known.
+    """
+    at = ["_g", *keys]
+    cells = cut(_histogram(rows, keys, _code(F.col("_v"))))
+    if (cells.agg(F.min("_least")).first()[0] or 0) < 0:
+        return fallback()
+    buckets = _with_starts(expand(cells, keys, sets).groupBy(*at, "_code").agg(*_bucket()), at)
+    goals = F.array(*(F.struct(F.lit(i).alias("_i"), t(F.col("_total")).cast("double").alias("_at")) for i, t in enumerate(targets)))
+    mine = [*at, "_i"]
+    picked = cut(_last_bucket(buckets.select("*", F.inline(goals)), mine))
+    own = expand(cells.select(*keys).distinct().select(*keys, *(F.col(k).alias(f"{k}_own") for k in keys)), keys, sets) if keys else None
+    for again in range(ROUNDS):
+        # a bucket of one value is an answer
+        wide = picked.filter("_low < _high")
+        most = wide.agg(F.max("_n")).first()[0]
+        if not most:
+            break
+        # which buckets a row can be in depends on its own keys
+        near = wide.select(*mine, F.col("_low").alias("_from"), F.col("_high").alias("_to"))
+        near = near if own is None else _meet(near, own, at).select(*(F.col(f"{k}_own").alias(f"{k}_own_r") for k in keys), *mine, "_from", "_to")
+        few = near.count() <= BROADCAST_ROWS
+        here = all_of([*(F.col(f"{k}_own").eqNullSafe(F.col(f"{k}_own_r")) for k in keys), F.col("_v").between(F.col("_from"), F.col("_to"))])
+        inside = rows.select(*(F.col(k).alias(f"{k}_own") for k in keys), "_v", "_w", "_least").join(F.broadcast(near) if few else near, here).select(*mine, "_from", "_v", "_w", "_least")
+        if most <= SORTED_ROWS or again == ROUNDS - 1:
+            one = inside.groupBy(*mine, "_v").agg(F.sum("_w").alias("_w"), F.min("_least").alias("_least"))
+            before = Window.partitionBy(*mine).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+            one = _meet(one.withColumn("_before", F.coalesce(F.sum("_w").over(before), F.lit(0.0))), wide.select(*mine, "_start", "_at"), mine)
+            found = one.groupBy(*mine).agg(F.max(F.when(F.col("_start") + F.col("_before") + F.col("_least") <= F.col("_at"), F.col("_v"))).alias("_inside"))
+            found = found.select(*(F.col(k).alias(f"{k}_r") for k in mine), "_inside")
+            picked = picked.join(found, all_of(F.col(k).eqNullSafe(F.col(f"{k}_r")) for k in mine), "left").drop(*(f"{k}_r" for k in mine))
+            break
+        parts = _with_starts(_histogram(inside, mine, _code(F.col("_v") - F.col("_from"))), mine).drop("_first", "_total")
+        outer = wide.select(*mine, "_at", "_first", "_total", F.col("_start").alias("_start0"), F.col("_prev").alias("_prev0"))
+        parts = _meet(parts, outer, mine).withColumns({"_start": F.col("_start") + F.col("_start0"), "_prev": F.coalesce("_prev", "_prev0")})
+        picked = cut(picked.filter("not coalesce(_low < _high, false)").unionByName(_last_bucket(parts, mine)))
+    if "_inside" not in picked.columns:
+        picked = picked.withColumn("_inside", F.lit(None).cast("double"))
+    alone = F.when((F.col("_low") == F.col("_high")) & (F.col("_start") + F.col("_least") <= F.col("_at")), F.col("_low"))
+    return picked.select(*mine, "_total", F.coalesce("_inside", alone, "_prev", "_first").alias("_found"))
+
+
+def grouped_weighted_quantiles(rows: DataFrame, keys: list[str], value: str, weight: str, qs: list[float], buckets: int = BUCKETS, sets: dict[tuple[bool, ...], int] | None = None) -> DataFrame:
+    """keys, q_0, q_1, ... for each group of plain key columns (nulls are a group). With grouping sets: _g, the set's number, and the keys,
+    null where they don't stay. Negative weights, under which running sums can fall, are added up over all values."""
+    at, every = ([*keys], {(True,) * len(keys): 0}) if sets is None else (["_g", *keys], sets)
+    rows = rows.filter(col(value).isNotNull() & col(weight).isNotNull()).select(*keys, col(value).cast("double").alias("_v"), col(weight).cast("double").alias("_w"), col(weight).cast("double").alias("_least"))
+
+    def by_all_values():
+        one = expand(rows.groupBy(*keys, "_v").agg(F.sum("_w").alias("_w"), F.min("_least").alias("_least")), keys, every)
+        own = ["_g", *keys]
+        one = one.groupBy(*own, "_v").agg(F.sum("_w").alias("_w"), F.min("_least").alias("_least"))
+        both = running_sum_before(one, own, "_v", "_w", buckets).withColumn("_run", F.col("_before") + F.col("_least"))
+        last = both.groupBy(*own).agg(F.max("_total").alias("_total"), *(F.coalesce(F.max(F.when(F.col("_run") <= q * F.col("_total"), F.col("_v"))), F.min("_v")).alias(f"_q{i}") for i, q in enumerate(qs)))
+        return last.select(*own, "_total", F.inline(F.array(*(F.struct(F.lit(i).alias("_i"), F.col(f"_q{i}").alias("_found")) for i in range(len(qs))))))
+
+    found = _last_under(rows, keys, every, [lambda total, q=q: total * float(q) for q in qs], by_all_values)
+    return found.groupBy(*at).agg(*(F.max(F.when(F.col("_i") == i, F.col("_found"))).alias(f"q_{i}") for i in range(len(qs))))
+
+
+def grouped_quantiles(rows: DataFrame, keys: list[str], value: str, qs: list[float], buckets: int = BUCKETS, sets: dict[tuple[bool, ...], int] | None = None) -> DataFrame:
+    """keys, q_0, q_1, ... as in grouped_weighted_quantiles, unweighted: linear interpolation between the two nearest ranks."""
+    at, every = ([*keys], {(True,) * len(keys): 0}) if sets is None else (["_g", *keys], sets)
+    rows = rows.filter(col(value).isNotNull()).select(*keys, col(value).cast("double").alias("_v"), F.lit(1.0).alias("_w"), F.lit(0.0).alias("_least"))
+    targets = [lambda total, q=q, side=side: side(F.lit(float(q)) * (total - 1)) for q in qs for side in (F.floor, F.ceil)]
+    found = _last_under(rows, keys, every, targets, None)
+    both = found.groupBy(*at).agg(F.max("_total").alias("_total"), *(F.max(F.when(F.col("_i") == i, F.col("_found"))).alias(f"_r{i}") for i in range(len(targets))))
+
+    def between(i: int, q: float):
+        p, low, high = F.lit(float(q)) * (F.col("_total") - 1), F.col(f"_r{2 * i}"), F.col(f"_r{2 * i + 1}")
+        return F.when(low == high, low).otherwise((F.ceil(p) - p) * low + (p - F.floor(p)) * high)
+
+    return both.select(*at, *(between(i, q).alias(f"q_{i}") for i, q in enumerate(qs)))
 
 
 def weighted_quantile(df: DataFrame, variables: list[str], weights: str | None = None, q: float | list[float] = 0.5) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import TOTAL, all_of, col, drop_missing, nan_to_null, require, truthy
-from ..functions.weighted import grouped_quantiles, grouped_weighted_quantiles
+from ..functions.weighted import expand, grouped_quantiles, grouped_weighted_quantiles
 
 PLAIN = ("sum", "mean", "median", "nunique", "count", "any", "all", "majority", "count_effectif", "max_sum_effectif")
 WITH_PARAMETERS = {"quantile": ("q",), "prop": ("var_ref",), "inf_threshold": ("var_threshold", "threshold")}
@@ -162,20 +162,17 @@ class StatDesGroupBy:
         else:
             out = rows.groupingSets([[F.col(k) for k, stays in zip(keys, s, strict=True) if stays] for s in sets], *map(F.col, keys)).agg(F.grouping_id().cast("int").alias("_g"), *exprs)
         names = {n: f"_a{order.index(n)}" for n, _ in plain}
-        expanded = None
-        if quantiles or majorities:
-            # these need rows by value inside each grouping set: one copy of a row per set
-            copies = F.array(*(F.struct(F.lit(gid[s]).alias("_g"), *((F.col(k) if stays else F.lit(None).cast(rows.schema[k].dataType)).alias(k) for k, stays in zip(keys, s, strict=True))) for s in sets))
-            used = {v: f"_v{i}" for i, v in enumerate([*quantiles, *(v for _, v in majorities)])}
-            expanded = rows.select(F.explode(copies).alias("_s"), *(col(v).alias(a) for v, a in used.items()), (col(self.weights).cast("double") if self.weights else F.lit(1.0)).alias("_w")).select("_s.*", *used.values(), "_w")
-        at = ["_g", *keys]
+        at, w = ["_g", *keys], (col(self.weights).cast("double") if self.weights else F.lit(1.0))
+        grouped = {s: gid[s] for s in sets}
         for v, asked in quantiles.items():
-            qs = [q for _, q in asked]
-            part = grouped_weighted_quantiles(expanded, at, used[v], "_w", qs) if self.weights else grouped_quantiles(expanded, at, used[v], qs)
+            qs, one = [q for _, q in asked], rows.select(*keys, col(v).alias("_v"), w.alias("_w"))
+            part = grouped_weighted_quantiles(one, keys, "_v", "_w", qs, sets=grouped) if self.weights else grouped_quantiles(one, keys, "_v", qs, sets=grouped)
             out = self._join(out, part, at, {f"_a{order.index(n)}": f"q_{i}" for i, (n, _) in enumerate(asked)})
             names |= {n: f"_a{order.index(n)}" for n, _ in asked}
         for n, v in majorities:
-            sums = expanded.filter(F.col(used[v]).isNotNull()).groupBy(*at, F.col(used[v]).alias("_x")).agg(F.sum("_w").alias("_t")).filter("_t is not null")
+            # counts by value are taken before a copy per grouping set
+            own = rows.filter(col(v).isNotNull()).groupBy(*keys, col(v).alias("_x")).agg(F.sum(w).alias("_t"))
+            sums = expand(own, keys, grouped).groupBy(*at, "_x").agg(F.sum("_t").alias("_t")).filter("_t is not null")
             part = sums.groupBy(*at).agg(F.min(F.struct((-F.col("_t")).alias("t"), F.col("_x").alias("x")))["x"].alias("m"))
             out = self._join(out, part, at, {f"_a{order.index(n)}": "m"})
             names[n] = f"_a{order.index(n)}"

@@ -151,3 +151,43 @@ def test_dotted_names(spark):
     df = spark.createDataFrame([(1.0,)], "`a.b` double")
     out = StatDesGroupBy(df, [], ["a.b"]).add_total(["median"])
     assert out.columns == ["a.b_q0.5"] and out.select(col("a.b_q0.5")).first()[0] == 1.0
+
+
+def odd_values(rng, n, weight):
+    """Narrow clusters far from zero, both signs, the ends of doubles, ties."""
+    pick = [lambda: 1e9 + rng.random() * 1e-3, lambda: -rng.expovariate(1e-3), lambda: float(rng.randint(0, 3)), lambda: 2.0 ** rng.randint(-1074, 1023), lambda: rng.choice([float("inf"), -float("inf"), 1.7976931348623157e308, -5e-324])]
+    return [(rng.choice(["a", "b", None]), rng.choice("xy"), rng.choice(pick)(), weight(rng)) for _ in range(n)]
+
+
+def by_sets(data):
+    out = {}
+    for g, h, v, w in data:
+        for key in ((g, h), (g, "Total"), ("Total", h), ("Total", "Total")):
+            out.setdefault(key, []).append((v, w))
+    return out
+
+
+@pytest.mark.parametrize(("sorted_rows", "steps"), [(1_000_000, 1024), (5, 4), (0, 1)])
+def test_weighted_quantiles_sort_one_bucket_only(spark, monkeypatch, sorted_rows, steps):
+    import random
+
+    from tabulon.functions import weighted
+
+    def not_all(*_):
+        raise AssertionError("all values of a group are being sorted")
+
+    monkeypatch.setattr(weighted, "running_sum_before", not_all)
+    monkeypatch.setattr(weighted, "SORTED_ROWS", sorted_rows, raising=False)
+    monkeypatch.setattr(weighted, "STEPS", steps, raising=False)
+    data = odd_values(random.Random(5), 600, lambda r: float(r.choice([0, 1, 2, 300])))
+    df = spark.createDataFrame(data, "g string, h string, v double, w double")
+    qs = [0.0, 0.3, 0.5, 0.9, 1.0]
+    got = {r[:2]: r[2:] for r in rows(StatDesGroupBy(df, ["g", "h"], ["v"], var_weights="w").iterate_with_total([("quantile", {"q": q}) for q in qs]))}
+    assert got == {k: tuple(plain_quantile(pairs, q) for q in qs) for k, pairs in by_sets(data).items()}
+
+
+def test_negative_weights_are_added_up_over_all_values(spark):
+    data = [("a", float(v), w) for v, w in enumerate([5.0, 1.0, -4.0, 3.0, -2.0, 1.0])] + [("b", 1.0, 1.0), ("b", 2.0, 1.0)]
+    df = spark.createDataFrame(data, "g string, v double, w double")
+    got = {r[0]: r[1] for r in rows(grouped_weighted_quantiles(df, ["g"], "v", "w", [0.5]))}
+    assert got == {g: plain_quantile([(v, w) for k, v, w in data if k == g], 0.5) for g in "ab"}
