@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import TOTAL, all_of, col, drop_missing, nan_to_null, require, truthy
+from ..functions.distinct import distinct_counts
 from ..functions.weighted import expand, grouped_quantiles, grouped_weighted_quantiles
 
 PLAIN = ("sum", "mean", "median", "nunique", "count", "any", "all", "majority", "count_effectif", "max_sum_effectif")
@@ -74,9 +75,10 @@ class StatDesGroupBy:
     def _share(self, top: Column, bottom: Column) -> Column:
         return F.try_divide(top.cast("double"), bottom.cast("double"))
 
-    def _compile(self, ops: list[Op]) -> tuple[list[tuple[str, Column]], dict[str, list[tuple[str, float]]], list[tuple[str, str]]]:
-        """(plain aggregates, quantiles by variable, majorities), each with its output name, in the order of output."""
-        plain, quantiles, majorities, order = [], {}, [], []
+    def _compile(self, ops: list[Op]) -> tuple[list[tuple[str, Column]], dict[str, list[Column]], dict[str, list[tuple[str, float]]], list[tuple[str, str]]]:
+        """(plain aggregates, distinct counts, quantiles by variable, majorities), each with its output name, in the order of output.
+        A distinct count has one expression, or two of which the share of the counts is wanted."""
+        plain, distinct, quantiles, majorities, order = [], {}, {}, [], []
         w = self.weights
 
         def add(name, expr):
@@ -84,11 +86,16 @@ class StatDesGroupBy:
                 order.append(name)
                 plain.append((name, expr))
 
+        def add_distinct(name, *exprs):
+            if name not in order:
+                order.append(name)
+                distinct[name] = list(exprs)
+
         for op in ops:
             if op.name == "count_effectif":
                 for who in (self.individual, self.enterprise):
                     if who:
-                        add(f"{who}_nunique", F.count_distinct(col(who)))
+                        add_distinct(f"{who}_nunique", col(who))
                 continue
             for v in op.columns:
                 c = col(v)
@@ -105,7 +112,7 @@ class StatDesGroupBy:
                         order.append(name)
                         quantiles.setdefault(v, []).append((name, q))
                 elif op.name == "nunique":
-                    add(f"{v}_nunique", F.count_distinct(c))
+                    add_distinct(f"{v}_nunique", c)
                 elif op.name == "count":
                     add(f"{v}_count", F.count(c))
                 elif op.name == "any":
@@ -124,13 +131,13 @@ class StatDesGroupBy:
                 elif op.name == "inf_threshold":
                     t, s = op["var_threshold"], op["threshold"]
                     require(self.data, [t])
-                    add(f"{v}_inf_{s}", self._share(F.count_distinct(F.when(col(t) < s, c)), F.count_distinct(c)))
+                    add_distinct(f"{v}_inf_{s}", F.when(col(t) < s, c), c)
                 elif op.name == "max_sum_effectif":
                     for who in (self.individual, self.enterprise):
                         if who:
                             add(f"{v}_{who}_max/sum", self._share(F.max(self._weighted(v)), F.sum(self._weighted(v))))
         self._order = order
-        return plain, quantiles, majorities
+        return plain, distinct, quantiles, majorities
 
     # grouping sets: a tuple of flags, True where the key stays
 
@@ -140,7 +147,7 @@ class StatDesGroupBy:
         return {"base": every[:1], "all": every, "under": every[1:-1] if k else [], "total": every[-1:]}[level]
 
     def _run(self, spec, level: str) -> DataFrame:
-        plain, quantiles, majorities = self._compile(parse_spec(spec, self.interest))
+        plain, distinct, quantiles, majorities = self._compile(parse_spec(spec, self.interest))
         order, sets = self._order, self._sets(level)
         if not order:
             raise ValueError("no operation applies to these columns")
@@ -153,7 +160,10 @@ class StatDesGroupBy:
             empty = False
         gid = {s: sum(1 << (len(s) - 1 - i) for i, stays in enumerate(s) if not stays) for s in sets}
         exprs = [e.alias(f"_a{order.index(n)}") for n, e in plain] or [F.count(F.lit(1)).alias("_n")]
-        if len(sets) == 1 and all(sets[0]) and keys:
+        if not plain and keys:
+            # groups alone: distinct keys are copied per set, rows aren't
+            out = expand(rows.select(*keys).distinct(), keys, {s: gid[s] for s in sets}).distinct()
+        elif len(sets) == 1 and all(sets[0]) and keys:
             out = rows.groupBy(*keys).agg(*exprs).withColumn("_g", F.lit(0))
         elif len(sets) == 1 and not any(sets[0]):
             out = rows.agg(*exprs).select(*(F.lit(None).cast(rows.schema[k].dataType).alias(k) for k in keys), "*", F.lit(gid[sets[0]]).alias("_g"))
@@ -164,6 +174,14 @@ class StatDesGroupBy:
         names = {n: f"_a{order.index(n)}" for n, _ in plain}
         at, w = ["_g", *keys], (col(self.weights).cast("double") if self.weights else F.lit(1.0))
         grouped = {s: gid[s] for s in sets}
+        if distinct:
+            parts = {f"_a{order.index(n)}_{i}": c for n, exprs in distinct.items() for i, c in enumerate(exprs)}
+            for n, part in zip(parts, distinct_counts(rows, keys, grouped, parts), strict=True):
+                out = self._join(out, part, at, {n: n})
+            for n, exprs in distinct.items():
+                names[n] = f"_a{order.index(n)}"
+                counts = [F.coalesce(F.col(f"{names[n]}_{i}"), F.lit(0).cast("long")) for i in range(len(exprs))]
+                out = out.withColumn(names[n], counts[0] if len(counts) == 1 else self._share(*counts))
         for v, asked in quantiles.items():
             qs, one = [q for _, q in asked], rows.select(*keys, col(v).alias("_v"), w.alias("_w"))
             part = grouped_weighted_quantiles(one, keys, "_v", "_w", qs, sets=grouped) if self.weights else grouped_quantiles(one, keys, "_v", qs, sets=grouped)

@@ -78,7 +78,9 @@ def count_effectif_modalite(pairs: list[tuple[str, str]], df: DataFrame, var_ind
     require(df, [var_individu, *(v for v, _ in pairs)])
     who = col(var_individu)
     conditions = [col(v) == m for v, m in pairs]
-    counts = df.agg(*(F.count_distinct(F.when(c, who)).alias(f"n{i}") for i, c in enumerate([*conditions, all_of(conditions)])))
+    # one row per individual, so that its rows are not copied once per condition
+    each = df.filter(who.isNotNull()).groupBy(who.alias("_who")).agg(*(F.bool_or(c).alias(f"n{i}") for i, c in enumerate([*conditions, all_of(conditions)])))
+    counts = each.agg(*(F.count_if(f"n{i}").alias(f"n{i}") for i in range(len(conditions) + 1)))
     labels = [*((v, str(m)) for v, m in pairs), ("Intersection", "Intersection")]
     rows = F.array(*(F.struct(F.lit(v).alias("variable"), F.lit(m).alias("modalite_ref"), F.col(f"n{i}").alias("nombre_individus")) for i, (v, m) in enumerate(labels)))
     return counts.select(F.inline(rows))

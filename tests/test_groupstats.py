@@ -191,3 +191,36 @@ def test_negative_weights_are_added_up_over_all_values(spark):
     df = spark.createDataFrame(data, "g string, v double, w double")
     got = {r[0]: r[1] for r in rows(grouped_weighted_quantiles(df, ["g"], "v", "w", [0.5]))}
     assert got == {g: plain_quantile([(v, w) for k, v, w in data if k == g], 0.5) for g in "ab"}
+
+
+@pytest.mark.parametrize(("bits", "words"), [(62, 4), (3, 4), (2, 1)])
+def test_distinct_counts_of_all_sets(spark, monkeypatch, bits, words):
+    """One word of masks, several, and more cells than masks hold."""
+    import random
+
+    from tabulon.functions import distinct
+
+    monkeypatch.setattr(distinct, "BITS", bits)
+    monkeypatch.setattr(distinct, "WORDS", words)
+    rng = random.Random(7)
+    data = [(rng.choice(["a", "b", None]), rng.choice("xyz"), rng.choice([None, *range(60)]), float(rng.choice([0, 1, 2, "nan"]))) for _ in range(400)] + [("c", "x", None, float("nan"))]
+    df = spark.createDataFrame(data, "g string, h string, i int, v double")
+    ops = ["count_effectif", "nunique", ("inf_threshold", {"var_threshold": "v", "threshold": 1})]
+    got = {r[:2]: r[2:] for r in rows(StatDesGroupBy(df, ["g", "h"], ["v"], var_individu="i").iterate_with_total(ops))}
+
+    def f(rs):
+        v = [x for _, x in rs if x == x]
+        return len({i for i, _ in rs if i is not None}), len(set(v)), len({x for x in v if x < 1}) / len(set(v)) if v else None
+
+    assert got == {k: f(rs) for k, rs in by_sets(data).items()}
+    assert rows(StatDesGroupBy(df, ["g"], ["v"], var_individu="i").add_under_total(["count_effectif"])) == []
+    assert rows(StatDesGroupBy(df.limit(0), [], ["v"], var_individu="i").iterate_with_total(["count_effectif"])) == [(0,)]
+
+
+def test_distinct_counts_do_not_copy_rows_per_set(spark):
+    """A count of distinct individuals and enterprises shuffles each pair of row and value once, not once per grouping set."""
+    df = spark.range(2000).selectExpr("id % 3 AS g", "id % 2 AS h", "id AS i", "id % 50 AS e")
+    out = StatDesGroupBy(df, ["g", "h"], [], var_individu="i", var_entreprise="e").iterate_with_total(["count_effectif"])
+    assert [r[2:] for r in rows(out)][-1] == (2000, 50)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan and "distinct" not in plan

@@ -119,3 +119,10 @@ def test_clusters(spark):
 
     out = ClusteringTransformer(KMeans(k=3, seed=1)).fit_transform(df)
     assert out.columns[0] == "labels" and {(r[0], round(r[1] / 100)) for r in rows(out)} == {(0, 0), (1, 1), (2, 2)}
+
+
+def test_modalities_do_not_copy_rows_per_condition(spark):
+    df = spark.createDataFrame([("a", "x", 1), ("a", "y", 1), ("b", "x", 1), ("a", "x", None), ("a", None, 2)], "g string, h string, i int")
+    out = count_effectif_modalite([("g", "a"), ("h", "x")], df, "i")
+    assert rows(out) == [("g", "a", 2), ("h", "x", 1), ("Intersection", "Intersection", 1)]
+    assert "Expand" not in out._jdf.queryExecution().optimizedPlan().toString()
