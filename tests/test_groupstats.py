@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from tabulon.functions.columns import FrozenDict, col
 from tabulon.functions.weighted import assign_quantile, create_pond_data, grouped_weighted_quantiles, weighted_quantile, weighted_std
 from tabulon.operators.groupstats import StatDesGroupBy, parse_spec
+from tabulon.operators.tables import suppress_small
 
 
 def rows(df):
@@ -224,3 +225,12 @@ def test_distinct_counts_do_not_copy_rows_per_set(spark):
     assert [r[2:] for r in rows(out)][-1] == (2000, 50)
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Expand" not in plan and "distinct" not in plan
+
+
+def test_sums_beside_distinct_counts_copy_no_individuals(spark):
+    df = spark.range(2000).selectExpr("id % 3 AS g", "id % 2 AS h", "id AS individual", "1.5D AS v")
+    out = StatDesGroupBy(df, ["g", "h"], ["v"], var_individu="individual").iterate_with_total(["sum", "count_effectif"])
+    hidden = suppress_small(out, counts=["individual_nunique"], n_min=334, values=["v_sum"])
+    assert rows(hidden)[0] == ("0", "0", 501.0, 334, False) and rows(hidden)[1] == ("0", "1", None, 333, True)
+    copies = [x for x in hidden._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Expand" in x]
+    assert copies and not any("individual" in x for x in copies)
