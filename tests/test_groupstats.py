@@ -234,3 +234,28 @@ def test_sums_beside_distinct_counts_copy_no_individuals(spark):
     assert rows(hidden)[0] == ("0", "0", 501.0, 334, False) and rows(hidden)[1] == ("0", "1", None, 333, True)
     copies = [x for x in hidden._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Expand" in x]
     assert copies and not any("individual" in x for x in copies)
+
+
+def test_medians_sort_one_bucket_only(spark, monkeypatch):
+    import random
+    from math import ceil, floor
+
+    from tabulon.functions import weighted
+
+    def not_all(*_):
+        raise AssertionError("all values of a group are being sorted")
+
+    monkeypatch.setattr(weighted, "running_sum_before", not_all)
+    monkeypatch.setattr(weighted, "SORTED_ROWS", 3, raising=False)
+    rng = random.Random(11)
+    data = [(rng.choice(["a", "b", None]), rng.choice("xy"), rng.choice([None, 1e9 + rng.random(), -float(rng.randint(0, 4)), rng.random()]), 1.0) for _ in range(300)]
+    df = spark.createDataFrame(data, "g string, h string, v double, w double")
+    got = {r[:2]: r[2:] for r in rows(StatDesGroupBy(df, ["g", "h"], ["v"]).iterate_with_total(["median", ("quantile", {"q": 0.3})]))}
+
+    def linear(pairs, q):
+        vs = sorted(v for v, _ in pairs if v is not None)
+        p = q * (len(vs) - 1)
+        low, high = vs[floor(p)], vs[ceil(p)]
+        return low if low == high else (ceil(p) - p) * low + (p - floor(p)) * high
+
+    assert got == {k: (linear(x, 0.5), linear(x, 0.3)) for k, x in by_sets(data).items()}
